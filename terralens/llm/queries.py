@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from terralens.llm import bpe, fingerprints, kneser_ney, sharding, substring, warc
+from terralens.llm import bpe, fingerprints, kneser_ney, sharding, substring, topk, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_warc": warc.op5_warc,
+    "op7_topk": topk.op7_topk,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_bpe": bpe.op9_bpe,
     "op10_substring": substring.op10_substring,
 }
 
-ORACLE_SQL = {"op5_warc": warc.SQL}
+ORACLE_SQL = {"op5_warc": warc.SQL, "op7_topk": topk.SQL}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terralens.llm import bpe, fingerprints, kneser_ney, sharding, substring, topk, warc
+from terralens.llm import bpe, fingerprints, kneser_ney, sharding, simhash, substring, topk, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_warc": warc.op5_warc,
+    "op6_simhash": simhash.op6_simhash,
     "op7_topk": topk.op7_topk,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_bpe": bpe.op9_bpe,

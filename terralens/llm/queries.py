@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from terralens.llm import bpe, fingerprints, kneser_ney, sharding, simhash, substring, topk, warc
+from terralens.llm import bpe, fingerprints, kneser_ney, mixing, sharding, simhash, substring, topk, warc
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_warc": warc.op5_warc,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_substring": substring.op10_substring,
 }
 
-ORACLE_SQL = {"op5_warc": warc.SQL, "op7_topk": topk.SQL}
+ORACLE_SQL = {"op1_mixing": mixing.SQL, "op5_warc": warc.SQL, "op7_topk": topk.SQL}

@@ -77,8 +77,8 @@ def put_file(uri: str, data) -> None:
 U64 = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _PIECE = 1 << 20
 #: Odd base of the polynomial word hash, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -144,14 +144,15 @@ def row_slices(offs: np.ndarray, limit: int = 2 << 20):
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, breaks: np.ndarray = _WS):
     """Words ``[^\\x20\\x09-\\x0D]+`` of every row: (starts, ends, first word of
-    each row, hashes). ``lower`` folds A-Z before hashing."""
+    each row, hashes). ``lower`` folds A-Z before hashing; ``breaks`` tells which
+    bytes part words, if others do than white space."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64), np.zeros(0, U64)
-    ws = _WS[data]
+    ws = breaks[data]
     first = np.zeros(n + 1, bool)
     first[offs] = True
     prev = np.empty(n, bool)
@@ -170,7 +171,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False):
         j = max(i + 1, int(np.searchsorted(starts, s + _PIECE)))
         e = ends[j - 1]
         part = data[s:e]
-        hashes[i:j] = span_hashes(_LOWER[part] if lower else part, starts[i:j] - s, ends[i:j] - s)
+        hashes[i:j] = span_hashes(LOWER[part] if lower else part, starts[i:j] - s, ends[i:j] - s)
         i = j
     return starts, ends, rows, hashes
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from terralens.llm import bpe, fingerprints, kneser_ney, mixing, sharding, simhash, substring, topk, warc
+from terralens.llm import bpe, fingerprints, kneser_ney, mixing, sharding, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,

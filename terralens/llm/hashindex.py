@@ -8,12 +8,13 @@ are even whatever the data; a frequent key arrives once per flush of a task.
 
 from __future__ import annotations
 
+import os
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 
-from terralens.llm.common import U64, filesystem, pack, unpack
+from terralens.llm.common import U64, filesystem, pack, put_file, unpack
 
 BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 BLOBS_DDL = "bucket int, blob binary"
@@ -95,6 +96,21 @@ def gathered(blob_df, parts: int):
     return blob_df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
+def written(spark, blob_df, root: str, least: int) -> set[int]:
+    """Write the keys that occur ``least`` times or more as sorted arrays below
+    ``root``; returns the numbers of the filled buckets, 2**16 at most."""
+    def write(batches):
+        for bucket, parts in by_bucket(batches):
+            keys, counts = merged(parts, np.uint8)
+            keys = keys[counts >= least]
+            if len(keys):
+                put_file(f"{root}/{bucket}.key", keys)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32())})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {r[0] for r in gathered(blob_df, parts).mapInArrow(write, "bucket int").collect()}
+
+
 class Column:
     """One array file, memory-mapped where the shared folder is a mounted one."""
 
@@ -107,7 +123,7 @@ class Column:
             return cls._open[uri]
         if uri.startswith(("file:", "/")):
             path = filesystem(uri)[1]
-            array = np.memmap(path, kind, "r")
+            array = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
         else:  # an object store has no mapping: the file is read, and few are held
             fsys, path = filesystem(uri)
             with fsys.open_input_file(path) as f:
@@ -118,6 +134,13 @@ class Column:
         return array
 
 
+    @classmethod
+    def close(cls, root: str) -> None:
+        """Let go of the arrays below ``root``, so that deleting them frees their disk."""
+        for uri in [u for u in cls._open if u.startswith(root)]:
+            del cls._open[uri]
+
+
 def find(root: str, bits: int, filled: set[int], sorted_keys: np.ndarray, columns: dict[str, object]) -> dict[str, np.ndarray]:
     """Rows of sorted keys in the arrays below ``root``; missing keys get zeros.
     ``found`` tells which are there."""

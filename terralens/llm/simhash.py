@@ -265,3 +265,193 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = None
+
+
+# --------------------------------------------------------------------------
+# near-duplicate texts at a similarity
+
+#: Candidates: BANDS runs of BAND least hashes. A pair at similarity 0.8 shares a
+#: band with probability 1 - (1 - 0.8**4)**20, all but three in a hundred thousand.
+BANDS, BAND = 20, 4
+#: Fingerprints of texts at similarity 0.8 differ in ten bits of 64 on average;
+#: a pair that differs in more than this many is not compared further.
+FAR = 30
+_PERMUTE = mix64(np.arange(1, BANDS * BAND + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+_SETS = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("content", pa.int64()), ("file", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SETS_DDL = "rid long, id long, content long, file int, start long, n long, fp long, bands array<long>"
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a shingle set; an empty set has one key of its own."""
+    if not len(shingles):
+        return np.zeros(1, np.int64)
+    with np.errstate(over="ignore"):
+        # an odd factor permutes the 64-bit numbers
+        least = np.full(BANDS * BAND, U64(0xFFFFFFFFFFFFFFFF))
+        for i in range(0, len(shingles), 2048):
+            np.minimum(least, (shingles[i : i + 2048] * _PERMUTE[:, None]).min(axis=1), out=least)
+        rows, key = least.reshape(BANDS, BAND), np.arange(1, BANDS + 1, dtype=U64)
+        for i in range(BAND):
+            key = mix64(key + rows[:, i])
+    return key.view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def shingle_sets(df: DataFrame, root: str, k: int, rid_col: str, id_col: str, text_col: str) -> DataFrame:
+    """Fingerprint, bands and shingle set of every row; the sets go to files below
+    ``root`` (32-bit hashes, sorted), the rows tell where."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        name = TaskContext.get().partitionId()
+        fsys, path = filesystem(f"{root}/sets-{name}")
+        fsys.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        tmp, at, out = f"{path}.{TaskContext.get().taskAttemptId()}.tmp", 0, None
+        for b in batches:
+            rows = []
+            for rid, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                out = out or fsys.open_output_stream(tmp)
+                h = shingle_hashes(text.as_py(), k)
+                full = np.unique(h)
+                part = np.unique((full >> U64(32)).astype(np.uint32))
+                out.write(part.tobytes())
+                content = int(np.array([xxhash.xxh64_intdigest(full.tobytes(), 7)], U64).view(np.int64)[0])
+                rows.append((rid, key, content, name, at, len(part), int(np.array([simhash(h)], U64).view(np.int64)[0]), band_keys(full).tolist()))
+                at += len(part)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SETS.types, strict=True)], schema=_SETS)
+        if out is not None:
+            out.close()
+            fsys.move(tmp, path)
+
+    src = df.select(F.col(rid_col).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, _SETS_DDL)
+
+
+def _linked(root: str, threshold: float):
+    """Links within buckets of rows sorted by key. From the first member on, what is
+    similar is linked and in turn compared with those not yet linked, so all of a
+    component is found, with no pair of members linked already compared."""
+    def members(batches):
+        now, rows = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != now:
+                    if len(rows) > 1:
+                        yield rows
+                    now, rows = row[0], []
+                rows.append(row[1:])
+        if len(rows) > 1:
+            yield rows
+
+    def run(batches):
+        out = []
+
+        def batch():
+            a, b = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for rows in members(batches):
+            fps = np.array([r[4] for r in rows], np.int64).view(U64)
+            sizes = np.array([r[3] for r in rows], np.int64)
+            take = lambda i: hx.Column.get(f"{root}/sets-{rows[i][1]}", np.uint32)[rows[i][2] : rows[i][2] + rows[i][3]]  # noqa: B023, E731
+            open_ = np.arange(len(rows))
+            while len(open_) > 1:
+                front, open_ = [int(open_[0])], open_[1:]
+                while front and len(open_):
+                    i = front.pop()
+                    mine = take(i)
+                    near = np.bitwise_count(fps[open_] ^ fps[i]) <= FAR
+                    # sets of too different a size cannot be similar enough
+                    near &= np.minimum(sizes[open_], len(mine)) >= threshold * np.maximum(sizes[open_], len(mine))
+                    hit = [n for n in np.flatnonzero(near).tolist() if similarity(mine, take(int(open_[n]))) >= threshold]
+                    found = open_[hit]
+                    out += [(rows[i][0], rows[j][0]) for j in found.tolist()]
+                    front += found.tolist()
+                    open_ = np.delete(open_, hit)
+                if len(out) > 100_000:
+                    yield batch()
+        if out:
+            yield batch()
+        hx.Column.close(root)
+
+    return run
+
+
+def near_duplicate_groups(df: DataFrame, rid_col: str, k: int = 5, threshold: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, id, keep): rows of one group share ``keep``, the row that stays, which is
+    that of the smallest id (null last), then of the smallest rid.
+
+    Texts link if the Jaccard similarity of their sets of k-word shingles is at
+    least ``threshold``; groups are the connected components. Fingerprints within
+    ``radius`` bits come from the Gray-order index; since a 64-bit fingerprint is
+    far wider apart at 0.8, bands of least hashes bring further candidates. Every
+    link is checked on the sets. Texts with equal sets are one member from the
+    start; all texts without a word are equal. ``rid`` is a unique long.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = scratch(spark, "sets")
+    rows = stash(shingle_sets(df, root, k, rid_col, id_col, text_col), "set-rows")
+    one = F.min(F.struct("rid", "file", "start", "n", "fp", "bands")).alias("one")
+    reps = stash(rows.groupBy("content").agg(one).select("content", "one.*"), "set-reps")
+
+    banded = reps.select(F.explode("bands").alias("key"), "rid", "file", "start", "n", "fp")
+    # the index's links as buckets: a component of close fingerprints is one bucket
+    nodes = reps.select("fp").distinct()
+    close = components(stash(fingerprint_links(nodes, radius), "links"))
+    indexed = reps.join(close, reps.fp == close.node).select(F.xxhash64("root", F.lit("fp")).alias("key"), "rid", "file", "start", "n", "fp")
+    same = reps.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
+    equal = reps.join(same, "fp").select(F.xxhash64("fp", F.lit("eq")).alias("key"), "rid", "file", "start", "n", "fp")
+    dealt = banded.unionByName(indexed).unionByName(equal).repartition(parts, "key").sortWithinPartitions("key", "rid")
+    edges = stash(dealt.mapInArrow(_linked(root, threshold), "a long, b long"), "set-links")
+    found = components(edges)
+    drop_path(spark, root)
+
+    classes = reps.join(found, reps.rid == found.node, "left").select("content", F.coalesce("root", "rid").alias("class"))
+    placed = rows.select("rid", "id", "content").join(classes, "content").select("rid", "id", "class")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")
+    keep = placed.groupBy("class").agg(least).select("class", F.col("least.rid").alias("keep"))
+    return placed.join(keep, "class").select("rid", "id", "keep")
+
+
+def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, one of each near-duplicate group, all columns.
+
+    The table is written once with a row number; the numbers that go are sorted
+    hash arrays, which the workers search while they read the table again, so the
+    texts are not shuffled.
+    """
+    spark = df.sparkSession
+    rid = "__rid"
+    while rid in df.columns:
+        rid += "_"
+    numbered = stash(df.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicate_groups(numbered, rid, k, threshold, id_col=id_col, text_col=text_col).filter("rid <> keep").select("rid")
+    bits = hx.bucket_bits(8 * numbered.count())
+    dead = scratch(spark, "gone")
+
+    def keys(batches):
+        yield from hx.spool((mix64(b.column(0).to_numpy().view(U64)) for b in batches), bits, 1)
+
+    filled = hx.written(spark, gone.mapInArrow(keys, hx.BLOBS_DDL), dead, 1)
+    at = numbered.columns.index(rid)
+
+    def run(batches):
+        for b in batches:
+            key = mix64(b.column(at).to_numpy().view(U64))
+            order = np.argsort(key)
+            there = np.zeros(len(key), bool)
+            there[order] = hx.find(dead, bits, filled, key[order], {})["found"]
+            kept = b.filter(pa.array(~there))
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], names=[n for i, n in enumerate(kept.schema.names) if i != at])
+
+    return numbered.mapInArrow(run, df.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, mix64, powers, put_file, row_slices, scratch, text_bytes, words
+from terralens.llm.common import U64, mix64, powers, row_slices, scratch, text_bytes, words
 
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -111,19 +111,7 @@ def _slices(batches, column=0):
 def _repeated(spark, blobs: DataFrame, name: str, bits: int):
     """Write the keys that occur twice or more; (root, bits, filled buckets)."""
     root = scratch(spark, name)
-
-    def write(batches):
-        for bucket, parts in hx.by_bucket(batches):
-            keys, counts = hx.merged(parts, np.uint8)
-            keys = keys[counts > 1]
-            if len(keys):
-                put_file(f"{root}/{bucket}.key", keys)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32())})
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The driver gets the numbers of the filled buckets, 2**16 at most.
-    filled = hx.gathered(blobs, parts).mapInArrow(write, "bucket int").collect()
-    return root, bits, {r[0] for r in filled}
+    return root, bits, hx.written(spark, blobs, root, 2)
 
 
 def duplicate_index(df: DataFrame, text_col: str = "text", min_words: int = 35):

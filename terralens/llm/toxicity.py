@@ -21,8 +21,9 @@ from terralens.llm.common import LOWER, U64, row_slices, span_hashes, text_bytes
 from terralens.llm.substring import run_hashes
 
 #: Bound of the training sample (documents of either label, bytes of text) and of the model.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MAX_FEATURES = 2000, 6000, 32 << 20, 1 << 18
-#: Tokens of one sequence of the field.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MAX_FEATURES = 2000, 6000, 24 << 20, 1 << 18
+#: Sequences that the field is trained on, and the tokens of one.
+MAX_SEQUENCES = 20_000
 LENGTH = 64
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _BREAK = np.ones(256, bool)
@@ -96,8 +97,8 @@ class Field:
         self.bias, self.start, self.trans = -4.0, 0.0, np.zeros((2, 2))
         self.line = np.array([-2.0, 0.0, 0.0])
 
-    def emissions(self, features: np.ndarray) -> np.ndarray:
-        return self.bias + (np.append(self.weights, 0.0)[self.numbers(features)]).sum(axis=1)
+    def emissions(self, numbers: np.ndarray) -> np.ndarray:
+        return self.bias + (np.append(self.weights, 0.0)[numbers]).sum(axis=1)
 
     def numbers(self, features: np.ndarray) -> np.ndarray:
         """Number of each feature; one past the last for an unknown one."""
@@ -107,13 +108,14 @@ class Field:
         i[i == len(self.keys)] = 0
         return np.where(self.keys[i] == features, i, len(self.keys))
 
-    def tag(self, t: Tokens) -> np.ndarray:
+    def tag(self, t: Tokens, numbers: np.ndarray | None = None) -> np.ndarray:
         """P(toxic) of every token."""
-        if not len(t.hashes):
+        if not len(t.kind):
             return np.zeros(0)
+        numbers = self.numbers(t.features) if numbers is None else numbers
         step, seq, count = padded(t.rows)
         score, real = np.zeros((LENGTH, count)), np.zeros((LENGTH, count), bool)
-        score[step, seq] = self.emissions(t.features)[t.kind]
+        score[step, seq] = self.emissions(numbers)[t.kind]
         real[step, seq] = True
         return marginals(score, real, self.trans, self.start)[2][step, seq]
 
@@ -173,18 +175,26 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30) -> Field:
 
     col = pa.array(texts, pa.large_string())
     data, offs = text_bytes(col)
-    slices = [(lo, Tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])) for lo, hi in row_slices(offs)]
-    # document frequency of every feature, by label
-    known = fold(np.concatenate([t.features.reshape(-1) for _, t in slices]))[0]
+    slices = [(lo, Tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])) for lo, hi in row_slices(offs, 1 << 20)]
+    del data, col
+    known = np.zeros(0, U64)
+    for _, t in slices:  # what the sample doesn't need is let go: it is held on the driver
+        t.starts = t.ends = t.hashes = None
+        t.kind = t.kind.astype(np.int32)
+        known = np.union1d(known, t.features.reshape(-1))
     known = known[known > 0]
-    numbered = [np.where(t.features > 0, np.searchsorted(known, t.features), -1) for _, t in slices]
+    numbered = []
+    for _, t in slices:
+        numbered.append(np.where(t.features > 0, np.searchsorted(known, t.features), -1).astype(np.int32))
+        t.features = None
 
+    # document frequency of every feature, by label
     def document_counts(skip):
         """Documents of either label that hold a feature; a word with a feature in ``skip`` doesn't count."""
         df = np.zeros((2, len(known)), np.int64)
         for (lo, t), num in zip(slices, numbered, strict=True):
             doc = np.repeat(np.arange(len(t.rows) - 1), np.diff(t.rows))
-            pair = fold(doc * (len(t.hash) + 1) + t.kind)[0]
+            pair = fold(doc * (len(t.hash) + 1) + t.kind.astype(np.int64))[0]
             if skip is not None:
                 pair = pair[~skip[num].any(axis=1)[pair % (len(t.hash) + 1)]]
             doc, f = pair // (len(t.hash) + 1), num[pair % (len(t.hash) + 1)]
@@ -213,15 +223,17 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30) -> Field:
     field.weights = np.where(marks[:-1], 2.0, 0.0)
 
     # tokens of the sample, laid out for the field
+    place = np.full(len(known) + 1, len(often), np.int32)
+    place[often] = np.arange(len(often), dtype=np.int32)
     parts = []
-    for lo, t in slices:
-        if not len(t.hashes):
+    for i, (lo, t) in enumerate(slices):
+        num = numbered[i] = place[numbered[i]]
+        if not len(t.kind):
             continue
-        num = field.numbers(t.features)
         hit = marks[num].any(axis=1)[t.kind]
         bad = hit & (np.repeat(y[lo : lo + len(t.rows) - 1], np.diff(t.rows)) == 1)
         step, seq, count = padded(t.rows)
-        grid = np.full((LENGTH, count), -1, np.int64)
+        grid = np.full((LENGTH, count), -1, np.int32)
         grid[step, seq] = t.kind
         tag = np.zeros((LENGTH, count), bool)
         tag[step, seq] = bad
@@ -230,10 +242,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30) -> Field:
         some[seq[hit]] = True
         other = np.flatnonzero(~some)
         take = np.sort(np.concatenate((np.flatnonzero(some), other[:: max(1, len(other) // max(100, int(some.sum())))])))
+        take = take[: max(1, MAX_SEQUENCES // len(slices))]
         parts.append((num, grid[:, take], tag[:, take]))
     if any(p[2].any() for p in parts):
         _train(field, parts, rounds, marks[:-1])
-    p = [field.evidence(field.tag(t), t.rows) for _, t in slices]
+    del parts
+    p = [field.evidence(field.tag(t, num), t.rows) for (_, t), num in zip(slices, numbered, strict=True)]
     field.line = _logistic(np.concatenate(p), y)
     return field
 
@@ -245,7 +259,7 @@ def _train(field: Field, parts, rounds: int, marks: np.ndarray, rate: float = 0.
     kinds, grids, tags = [], [], []
     for num, grid, tag in parts:
         kinds.append(num)
-        grids.append(np.where(grid >= 0, grid + base, -1))
+        grids.append(np.where(grid >= 0, grid.astype(np.int64) + base, -1))
         tags.append(tag)
         base += len(num)
     num, grid, tag = np.concatenate(kinds), np.concatenate(grids, axis=1), np.concatenate(tags, axis=1)

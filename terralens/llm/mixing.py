@@ -55,7 +55,9 @@ def _order(seed: int, epoch: str = "epochs") -> Column:
 def share_out(nodes: DataFrame, budgets: DataFrame, parent: list[str], level: str, weights: dict) -> DataFrame:
     """Budgets of the children: ``nodes`` has (parent..., level, cap), ``budgets``
     (parent..., budget). Rows here are nodes of the tree, not documents."""
-    rows = (nodes.join(budgets, parent) if parent else nodes.crossJoin(budgets)).withColumn("w", _weight(level, weights))  # budgets without a parent: one row
+    # the root's budget is one number
+    rows = nodes.join(budgets, parent) if parent else nodes.withColumn("budget", budgets.select("budget").scalar())
+    rows = rows.withColumn("w", _weight(level, weights))
     big = lambda c: F.col(c).cast("decimal(38,0)")
     family = Window.partitionBy(*parent)
     order = family.orderBy((F.col("cap") / F.col("w")).asc(), F.col(level))

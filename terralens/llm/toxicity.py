@@ -11,13 +11,15 @@ score, and the tokens above one half its offending spans.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm.hashindex import fold
 from terralens.llm.common import LOWER, U64, row_slices, span_hashes, text_bytes, words
+from terralens.llm.hashindex import fold
 from terralens.llm.substring import run_hashes
 
 #: Bound of the training sample (documents of either label, bytes of text) and of the model.
@@ -308,7 +310,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """(texts, labels): at most MAX_TOXIC and MAX_CLEAN labelled rows, chosen by a
+    """(text, label) rows: at most MAX_TOXIC and MAX_CLEAN labelled ones, chosen by a
     hash of the id. A repeated id counts with its largest label; null labels and ids don't count."""
     one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     picked = None
@@ -318,14 +320,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # MAX_TOXIC + MAX_CLEAN ids at most are broadcast
     src = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     met = src.join(F.broadcast(picked), "__id").groupBy("__id").agg(F.max("__y").alias("y"), F.min("__t").alias("t"))
-    texts, ys, size = [], [], 0
-    for r in met.orderBy(F.xxhash64("__id", F.lit(1)), "__id").toLocalIterator():
-        size += len(r["t"])
-        if size > MAX_BYTES:
-            break
-        texts.append(r["t"])
-        ys.append(int(r["y"]))
-    return texts, ys
+    return met.select(F.xxhash64("__id", F.lit(1)).alias("o"), "t", F.col("y").cast("int").alias("y"))
 
 
 _OUT = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
@@ -388,8 +383,19 @@ def in_held_out(id_col: str = "doc_id"):
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Field:
-    """The field learnt from the labels outside the held-out fifth."""
-    return fit(*training_sample(docs, labels.filter(~in_held_out())))
+    """The field learnt from the labels outside the held-out fifth. The sample, of
+    bounded size, goes to one task that fits the field; the driver gets the model."""
+    sample = training_sample(docs, labels.filter(~in_held_out())).coalesce(1)
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        size = np.cumsum([len(r[1]) for r in rows]) if rows else np.zeros(0)
+        rows = rows[: int(np.searchsorted(size, MAX_BYTES, "right"))]
+        field = fit([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(field)], pa.binary())})
+
+    got = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else fit([], [])  # noqa: S301
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Longest word, in bytes, for the rescanned array.
 SHORT = 128
 #: Most words a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _NONE = 1 << 60
 
 # The byte-level split pattern of the vocabulary's family.

@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins every node's neighbours to the least of them, larger ones
     first (large star), then smaller ones (small star); it ends when a round
-    changes nothing. Rounds are written tables, the driver sees a count and a
-    checksum. Loops, repeated edges and nulls are ignored.
+    changes nothing. ``edges`` is computed once, here; rounds are written tables, the
+    driver sees a count and a checksum. Loops, repeated edges and nulls are ignored.
     """
     spark = edges.sparkSession
     last = None

@@ -252,7 +252,7 @@ def near_fingerprints(df: DataFrame, k: int = 3, radius: int = 2, id_col: str =
     """
     rows = stash(fingerprints(df, k, id_col, text_col), "fingerprints")
     nodes = stash(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = components(stash(fingerprint_links(nodes, radius), "links"))
+    found = components(fingerprint_links(nodes, radius))
     rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     labels = rooted.join(named, "root").select("fp", "component")
@@ -407,13 +407,12 @@ def near_duplicate_groups(df: DataFrame, rid_col: str, k: int = 5, threshold: fl
     banded = reps.select(F.explode("bands").alias("key"), "rid", "file", "start", "n", "fp")
     # the index's links as buckets: a component of close fingerprints is one bucket
     nodes = reps.select("fp").distinct()
-    close = components(stash(fingerprint_links(nodes, radius), "links"))
+    close = components(fingerprint_links(nodes, radius))
     indexed = reps.join(close, reps.fp == close.node).select(F.xxhash64("root", F.lit("fp")).alias("key"), "rid", "file", "start", "n", "fp")
     same = reps.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
     equal = reps.join(same, "fp").select(F.xxhash64("fp", F.lit("eq")).alias("key"), "rid", "file", "start", "n", "fp")
     dealt = banded.unionByName(indexed).unionByName(equal).repartition(parts, "key").sortWithinPartitions("key", "rid")
-    edges = stash(dealt.mapInArrow(_linked(root, threshold), "a long, b long"), "set-links")
-    found = components(edges)
+    found = components(dealt.mapInArrow(_linked(root, threshold), "a long, b long"))  # writes them, so the sets can go
     drop_path(spark, root)
 
     classes = reps.join(found, reps.rid == found.node, "left").select("content", F.coalesce("root", "rid").alias("class"))

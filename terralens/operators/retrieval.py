@@ -37,7 +37,7 @@ def chunk(df: DataFrame, key: str, text: str, mark: str = "\n## ", cap: int = 12
     """(id, texto): the parts of each document between headings, trimmed, empty ones
     dropped, cut to ``cap`` characters; the id ends in the part's place."""
     parts = F.posexplode(F.split(text, F.lit("\\Q" + mark + "\\E")))
-    rows = df.select(F.col(key).alias("_key"), parts.alias("_i", "_part")).withColumn("texto", F.substring(F.trim("_part"), 1, cap)).filter("texto <> ''")
+    rows = df.select(F.col(key).alias("_key"), parts.alias("_i", "_part")).withColumn("texto", F.substring(F.trim("_part", F.lit(" \t\n\r")), 1, cap)).filter("texto <> ''")
     return rows.select(F.concat_ws("-", F.col("_key").cast("string"), F.col("_i").cast("string")).alias("id"), "texto")
 
 

@@ -126,7 +126,7 @@ SQL = {
     "stratified_split": "SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919) % 10007, doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.25 + 0.5))::INT AS is_test FROM labels",
     "cosine_topk": _w("q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)", "s AS (SELECT vec_id, label, floor(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)) / ((sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) + 1e-9) * (sqrt(list_dot_product(list_transform(e, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))) + 1e-9)) * 1e4 + 0.5) / 1e4 AS score FROM embeddings, q)") + " SELECT vec_id, label, score FROM s ORDER BY score DESC, vec_id LIMIT 6",
     "vector_norms": "SELECT vec_id, floor(sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * 1e4 + 0.5) / 1e4 AS length FROM embeddings",
-    "document_chunks": "SELECT doc_id || '-' || (i - 1) AS id, texto FROM (SELECT doc_id, i, substr(trim(parts[i]), 1, 1200) AS texto FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)) WHERE texto <> ''",
+    "document_chunks": "SELECT doc_id || '-' || (i - 1) AS id, texto FROM (SELECT doc_id, i, substr(trim(parts[i], ' ' || chr(9) || chr(10) || chr(13)), 1, 1200) AS texto FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)) WHERE texto <> ''",
     "fact_corpus": _w(LABELLED) + " SELECT 'mun-' || cod_mpio AS id, 'municipio' AS tipo, municipio || ': level ' || riesgo_nivel || ', ' || mineria_titulos || ' titles, ' || focos_7d || ' hot spots, ' || runap_areas || ' protected areas.' AS texto FROM labelled UNION ALL SELECT 'dist-' || riesgo_nivel, 'resumen', 'Level ' || riesgo_nivel || ' has ' || count(*) || ' territories.' FROM labelled GROUP BY riesgo_nivel",
     "prompt_context": "SELECT string_agg('[' || item_id || '] ' || substr(text, 1, 40), chr(10) ORDER BY item_id) AS prompt FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 6)",
     "ndvi_loss_zonal": _w(PIXELS) + ", z AS (SELECT zone, sum(CASE WHEN v0 > 0.6 AND v0 - v1 > 0.15 THEN 1 ELSE 0 END) AS n FROM nd GROUP BY zone HAVING n > 0) SELECT zone, floor(n * 0.01 * 100 + 0.5) / 100 AS ha_perdida FROM z",

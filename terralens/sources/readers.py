@@ -66,7 +66,7 @@ def json_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("text"))
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:

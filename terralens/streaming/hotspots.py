@@ -17,7 +17,7 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
 def windowed(events: DataFrame, time: str, key: str, value: str, late: str = "1 day", window: str = "7 days", slide: str = "1 day") -> DataFrame:
     """Hot spots and radiative power per key and sliding window; events later than
     ``late`` behind the newest are left out, and their windows' state is dropped."""
-    w = F.window(F.col(time).cast("timestamp"), window, slide)
+    w = F.window(time, window, slide)
     g = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w, key)
     return g.agg(F.count(F.lit(1)).alias("focos"), F.sum(value).alias("frp_total")).select("window.start", "window.end", key, "focos", "frp_total")
 

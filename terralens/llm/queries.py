@@ -17,4 +17,4 @@ QUERIES = {
     "op10_substring": substring.op10_substring,
 }
 
-ORACLE_SQL = {"op1_mixing": mixing.SQL, "op5_warc": warc.SQL, "op7_topk": topk.SQL}
+ORACLE_SQL = {"op2_sharding": sharding.SQL, "op10_substring": substring.SQL, "op1_mixing": mixing.SQL, "op5_warc": warc.SQL, "op7_topk": topk.SQL}

@@ -234,4 +234,13 @@ def op10_substring(spark, sf_dir: str) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-SQL = None
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+pos AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w),
+h AS (SELECT doc_id, i, t[i] AS word, CASE WHEN i + 34 <= len(t) THEN md5(array_to_string(t[i : i + 34], ' ')) END AS h FROM pos),
+r AS (SELECT h FROM h WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+m AS (SELECT h.doc_id, i, word, max((r.h IS NOT NULL)::INT) OVER (PARTITION BY h.doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM h LEFT JOIN r ON h.h = r.h),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(t)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -14,17 +14,24 @@ import pyarrow.compute as pc
 # shared folder
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark) -> str:
-    """Folder that the driver and all executors share (``spark.checkpoint.dir``).
+    """Folder that the driver and all executors share (``spark.checkpoint.dir``),
+    with the scheme of its file system.
 
     Only where the session names none (plain local sessions, tests) a fresh
     local folder is taken; a cluster has to set it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="terralens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="terralens-"))
+        root = _OWN[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark, name: str) -> str:

@@ -93,6 +93,7 @@ SQL = {
     "point_in_polygon": _w(HOT, POLY) + f", h AS (SELECT event_id, min(cod) AS cod FROM (SELECT event_id, poly.cod AS cod FROM hot, poly WHERE ({CROSSINGS}) % 2 = 1) GROUP BY 1) SELECT hot.event_id, h.cod FROM hot LEFT JOIN h USING (event_id)",
     "area_of_interest": _w(POLY) + " SELECT min(x) - 2.0 AS lon_min, min(y) - 2.0 AS lat_min, max(x) + 2.0 AS lon_max, max(y) + 2.0 AS lat_max FROM poly WHERE cod IN (1, 3, 5)",
     "hotspot_aggregate": _w(HOT) + " SELECT cod_mpio, focos_7d, frp_total, ultima_fecha, floor(least(1.0, ln(1 + frp_total) / coalesce(nullif((SELECT ln(1 + max(frp_total)) FROM fire), 0), 1)) * 1e4 + 0.5) / 1e4 AS idx_fuego FROM fire",
+    "hotspot_stream": "SELECT event_type AS sensor, ts::DATE AS day, count(*) AS focos, sum(value::DECIMAL(18,4))::DOUBLE AS frp_total FROM events GROUP BY ALL",
     "index_logminmax": _w(LABELLED) + " SELECT cod_mpio, idx_minero, idx_deforestacion, idx_fuego, idx_hidrico, idx_sensibilidad FROM labelled",
     "risk_score_level": _w(LABELLED) + " SELECT * FROM labelled",
     "level_distribution": _w(LABELLED) + " SELECT riesgo_nivel, count(*) AS n FROM labelled GROUP BY 1",

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from terralens.functions import conform as C
 from terralens.operators import anomaly, conformal, index, metrics, model, raster, report, retrieval, spatial, territory
 from terralens.plans import frames as T
-from terralens.schema import INDICES, LEVELS, WEIGHTS
+from terralens.schema import INDICES, LEVELS
+from terralens.session import scratch_path
+from terralens.sources import readers
+from terralens.streaming import hotspots as live
 
 HIGH = ("Alto", "Crítico")
 QUAD = ((-2.0, -0.5), (0.5, -2.0), (2.0, 0.5), (-0.5, 2.0))
@@ -292,6 +295,15 @@ def hotspot_windows(s, d):
     return x.groupBy("sensor", F.date_sub("acq_date", F.col("k")).alias("first_day")).agg(F.sum("n").alias("focos"), F.sum("v").cast("double").alias("frp_total"))
 
 
+def hotspot_stream(s, d):
+    """Daily totals kept up to date by a stream of the event files."""
+    schema = T.table(s, d, "events").schema
+    e = live.stream(s, d, schema, names="events.parquet")
+    day = F.to_date("ts").alias("day")
+    totals = e.groupBy(F.col("event_type").alias("sensor"), day).agg(F.count(F.lit(1)).alias("focos"), C.decimal_sum("value").alias("frp_total"))
+    return live.refreshed_table(s, totals, scratch_path(s, "hotspots"))
+
+
 QUERIES = {
     "territory_master": T.master,
     "code_conformance": code_conformance,
@@ -303,6 +315,8 @@ QUERIES = {
     "area_of_interest": lambda s, d: spatial.area_of_interest(polygons(s, d), [1, 3, 5]),
     "hotspot_aggregate": hotspot_aggregate,
     "hotspot_windows": hotspot_windows,
+    "hotspot_stream": hotspot_stream,
+    "source_registry": lambda s, d: readers.catalogue(s),
     "index_logminmax": lambda s, d: T.labelled(s, d).select("cod_mpio", *INDICES),
     "risk_score_level": T.labelled,
     "level_distribution": lambda s, d: report.frequency(T.labelled(s, d), "riesgo_nivel"),

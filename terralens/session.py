@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,10 @@ def session(app: str = "terralens", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``);
+    in a temporary one only where the session names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/terralens/{name}-{uuid.uuid4().hex}"

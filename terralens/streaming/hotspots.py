@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
-    """Parquet files that arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16, names: str = "*") -> DataFrame:
+    """Parquet files that arrive in a folder, by name pattern."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(path)
 
 
 def windowed(events: DataFrame, time: str, key: str, value: str, late: str = "1 day", window: str = "7 days", slide: str = "1 day") -> DataFrame:
@@ -26,3 +26,17 @@ def refresh(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     """Work off what has arrived and stop: a daily refresh. The sink overwrites its
     output for a batch, so a repeated batch does no harm."""
     return events.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refreshed_table(spark: SparkSession, totals: DataFrame, out: str) -> DataFrame:
+    """Run a streaming aggregate over what has arrived, overwrite its table with each
+    batch's complete state, and return the table."""
+    q = (
+        totals.writeStream.outputMode("complete")
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/table"))
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/table")

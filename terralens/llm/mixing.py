@@ -142,7 +142,8 @@ def mix_rows(df: DataFrame, domain: Column, share: float, weights: dict, seed: i
     slim, plan = _planned(df, domain, share, weights, 1, id_col, text_col)
     ends = _selection(slim, plan, seed).groupBy(*LEVELS).agg(F.max("order").alias("__end"))
     cuts = plan.join(ends, list(LEVELS), "left").filter("epochs > 0 OR __end IS NOT NULL")
-    cuts = cuts.select(*LEVELS, "epochs", F.col("__end").alias("end"))
+    # written, so that its size is known when the join is planned and the texts aren't dealt out by leaf
+    cuts = stash(cuts.select(*LEVELS, "epochs", F.col("__end").alias("end")).coalesce(1), "mix-cuts")
     # the row travels as one struct, so no column name of its own can clash
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_leveled(df, domain, text_col, id_col))
     met = keyed.join(cuts, list(LEVELS))

@@ -416,9 +416,10 @@ def near_duplicate_groups(df: DataFrame, rid_col: str, k: int = 5, threshold: fl
     drop_path(spark, root)
 
     classes = reps.join(found, reps.rid == found.node, "left").select("content", F.coalesce("root", "rid").alias("class"))
-    placed = rows.select("rid", "id", "content").join(classes, "content").select("rid", "id", "class")
+    # written, so that the join by class below meets plain exchanges, whose large partitions can be split
+    placed = stash(rows.select("rid", "id", "content").join(classes, "content").select("rid", "id", "class"), "classes")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")
-    keep = placed.groupBy("class").agg(least).select("class", F.col("least.rid").alias("keep"))
+    keep = stash(placed.groupBy("class").agg(least).select("class", F.col("least.rid").alias("keep")), "kept")
     return placed.join(keep, "class").select("rid", "id", "keep")
 
 

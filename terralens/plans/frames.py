@@ -56,9 +56,12 @@ def master(spark: SparkSession, d: str) -> DataFrame:
     ica = ((F.col("o_orderkey") * 37) % 140).cast("double") / 100 - 0.2
     sample = (F.col("o_orderkey") % 7 == 0) & ica.between(0, 1)
     area = F.col("o_orderstatus") == "F"
-    # one pass and one shuffle over the orders for all that is keyed by code
+    # lines are summed per order before they meet the orders, and all that is keyed by
+    # code is then one aggregate over one pass
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,4)")).alias("q"), F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("p"))
+    with_lines = known.join(lines, known.o_orderkey == lines.l_orderkey, "left")
     per_code = territory.by_code(
-        known, "cod",
+        with_lines, "cod",
         F.count(F.lit(1)).cast("int").alias("mineria_titulos"),
         F.count_distinct(F.nullif(F.trim("o_orderpriority"), F.lit(""))).cast("int").alias("mineria_minerales"),
         F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("es_pdet"),
@@ -67,12 +70,11 @@ def master(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(sample).cast("int").alias("agua_estaciones"),
         F.count_if(area).cast("int").alias("runap_areas"),
         decimal_sum(F.when(area, F.col("o_totalprice"))).alias("runap_hectareas"),
+        F.sum("q").cast("double").alias("mineria_volumen"),
+        F.sum("p").cast("double").alias("mineria_regalias"),
     )
-    # lines are summed per order before they meet the orders
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,4)")).alias("q"), F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("p"))
-    volume = known.join(lines, known.o_orderkey == lines.l_orderkey).groupBy("cod").agg(F.sum("q").cast("double").alias("mineria_volumen"), F.sum("p").cast("double").alias("mineria_regalias"))
     zeros = ("mineria_titulos", "mineria_minerales", "mineria_volumen", "mineria_regalias", "es_pdet", "deforestacion_ha", "agua_estaciones", "runap_areas", "runap_hectareas")
-    out = territory.assemble(s, [per_code, volume], "cod", zeros)
+    out = territory.assemble(s, [per_code], "cod", zeros)
     return out.select(
         F.col("cod").alias("cod_mpio"), "municipio", "departamento", "lat", "lon", "mineria_titulos", "mineria_minerales",
         half_up("mineria_volumen", 2).alias("mineria_volumen"), half_up("mineria_regalias", 2).alias("mineria_regalias"), "es_pdet", "deforestacion_ha",

@@ -23,8 +23,8 @@ FLUSH = 1_500_000
 
 
 def bucket_bits(n_bytes: int, per_bucket: int = 32 << 20) -> int:
-    """Bits of the bucket number: buckets follow the input's size, 2**16 at most."""
-    return min(16, max(3, (max(1, n_bytes) // per_bucket).bit_length()))
+    """Bits of the bucket number: buckets follow the input's size, from 32 (so that small tables use several tasks) to 2**16."""
+    return min(16, max(5, (max(1, n_bytes) // per_bucket).bit_length()))
 
 
 def fold(keys: np.ndarray, counts: np.ndarray | None = None):

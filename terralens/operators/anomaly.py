@@ -60,10 +60,17 @@ def isolation_forest(df: DataFrame, features: tuple[str, ...], key: str, trees:
     spark = df.sparkSession
     x = df.fillna(0, subset=list(features)).select(key, *features)
     total = x.count()
-    # each row draws the trees that take it; about 2 * SAMPLE rows per tree remain, then the first SAMPLE count
-    share = min(1.0, 2.0 * SAMPLE / max(1, total))
-    drawn = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("place", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
-    drawn = drawn.filter(F.pmod("place", F.lit(1_000_000)) < int(share * 1_000_000))
+    # about 2 * SAMPLE rows are drawn per tree, of which the first SAMPLE count. In a
+    # large table a row is drawn for one tree at most, so it is neither repeated nor
+    # shuffled unless drawn; in a small one every tree draws from all rows.
+    share = 2.0 * SAMPLE / max(1, total)
+    if share * trees <= 1:
+        drawn = x.withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(trees)).cast("int"))
+        share *= trees
+    else:
+        drawn = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = drawn.withColumn("place", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
+    drawn = drawn.filter(F.pmod("place", F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

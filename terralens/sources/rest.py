@@ -1,4 +1,8 @@
-"""Paged REST tables as Python data sources: one partition per page.
+"""Paged REST tables as Python data sources.
+
+Where the number of rows is known (option ``total``) each page is a partition of
+its own; else the pages follow one another in one task, since only the last page
+tells that it is the last.
 
 ``spark.dataSource.register(OffsetPages)`` and then
 ``spark.read.format("offset_pages").option("url", ...).load()``. The fetch function
@@ -20,12 +24,16 @@ def fetch(url: str, timeout: int = 60):
         return json.loads(r.read())
 
 
+def offset_page(get, url: str, page: int, at: int) -> list[dict]:
+    return get(f"{url}?{urlencode({'$limit': page, '$offset': at})}")
+
+
 def offset_pages(get, url: str, page: int = 5000, pause: float = 0.3):
     """Rows of a table paged by $limit and $offset. Empty rows are dropped; a page
     that arrives short, before that, is the last."""
     at = 0
     while True:
-        rows = get(f"{url}?{urlencode({'$limit': page, '$offset': at})}")
+        rows = offset_page(get, url, page, at)
         yield from (r for r in rows if r)
         if len(rows) < page:
             return
@@ -33,30 +41,46 @@ def offset_pages(get, url: str, page: int = 5000, pause: float = 0.3):
         time.sleep(pause)
 
 
+def feature_page(get, url: str, fields: str, page: int, at: int) -> tuple[list[dict], bool]:
+    """(attributes of the features from an offset on, whether rows were held back)"""
+    query = {"where": "1=1", "outFields": fields, "returnGeometry": "false", "resultOffset": at, "resultRecordCount": page, "f": "json"}
+    got = get(f"{url}/query?{urlencode(query)}")
+    return [f.get("attributes", {}) for f in got.get("features", [])], bool(got.get("exceededTransferLimit"))
+
+
 def feature_pages(get, url: str, fields: str = "*", page: int = 1000, pause: float = 0.3):
     """Attributes of a feature service paged by resultOffset, until the service no
     longer says that it held rows back."""
     at = 0
     while True:
-        got = get(f"{url}/query?{urlencode({'where': '1=1', 'outFields': fields, 'returnGeometry': 'false', 'resultOffset': at, 'resultRecordCount': page, 'f': 'json'})}")
-        rows = [f.get("attributes", {}) for f in got.get("features", [])]
+        rows, more = feature_page(get, url, fields, page, at)
         yield from rows
-        if not got.get("exceededTransferLimit") or not rows:
+        if not more or not rows:
             return
         at += len(rows)
         time.sleep(pause)
 
 
+class Page(InputPartition):
+    def __init__(self, at: int):
+        self.at = at
+
+
 class _Pages(DataSourceReader):
-    def __init__(self, options, schema, rows):
-        self.options, self.schema, self.rows = options, schema, rows
+    """``rows(options)`` reads all pages, ``one(options, offset)`` a single one."""
+
+    def __init__(self, options, schema, rows, one, size):
+        self.options, self.schema, self.rows, self.one, self.size = options, schema, rows, one, size
 
     def partitions(self):
-        return [InputPartition(0)]
+        total = self.options.get("total")
+        return [Page(-1)] if total is None else [Page(at) for at in range(0, int(total), self.size)] or [Page(-1)]
 
     def read(self, partition):
         names = [f.name for f in self.schema.fields]
-        for r in self.rows(self.options):
+        for r in self.rows(self.options) if partition.at < 0 else self.one(self.options, partition.at):
+            if not r:
+                continue
             yield tuple(None if r.get(n) is None else str(r[n]) for n in names)
 
 
@@ -68,8 +92,8 @@ class OffsetPages(DataSource):
         return "offset_pages"
 
     def reader(self, schema):
-        get = self.fetch
-        return _Pages(self.options, schema, lambda o: offset_pages(get, o["url"], int(o.get("page", 5000)), float(o.get("pause", 0.3))))
+        get, size = self.fetch, int(self.options.get("page", 5000))
+        return _Pages(self.options, schema, lambda o: offset_pages(get, o["url"], size, float(o.get("pause", 0.3))), lambda o, at: offset_page(get, o["url"], size, at), size)
 
     fetch = staticmethod(fetch)
 
@@ -82,7 +106,8 @@ class FeaturePages(DataSource):
         return "feature_pages"
 
     def reader(self, schema):
-        get = self.fetch
-        return _Pages(self.options, schema, lambda o: feature_pages(get, o["url"], o.get("fields", "*"), int(o.get("page", 1000)), float(o.get("pause", 0.3))))
+        get, size = self.fetch, int(self.options.get("page", 1000))
+        fields = self.options.get("fields", "*")
+        return _Pages(self.options, schema, lambda o: feature_pages(get, o["url"], fields, size, float(o.get("pause", 0.3))), lambda o, at: feature_page(get, o["url"], fields, size, at)[0], size)
 
     fetch = staticmethod(fetch)

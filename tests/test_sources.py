@@ -70,6 +70,8 @@ def test_data_source_rows(spark):
     spark.dataSource.register(Local)
     df = spark.read.format("local_pages").schema("a string, n string, z string").option("url", "http://x").option("pause", "0").load()
     assert [tuple(r) for r in df.collect()] == [("x", "5", None)]
+    paged = spark.read.format("local_pages").schema("a string").option("url", "http://x").option("page", "2").option("total", "5").load()
+    assert paged.count() == 3 and paged.rdd.getNumPartitions() == 3
 
 
 def test_sinks(spark, tmp_path):
@@ -98,6 +100,12 @@ def test_isolation_forest_finds_the_odd_one(spark):
     assert max(rows, key=lambda r: r.score_anomalia).id == 7 and next(r for r in rows if r.id == 7).es_anomalia == 1
 
 
+def test_isolation_forest_on_a_large_table_draws_each_row_once(spark):
+    df = spark.range(40_000).select("id", F.when(F.col("id") == 7, 50.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") == 7, -50.0).otherwise(F.randn(4)).alias("b"))
+    rows = anomaly.isolation_forest(df, ("a", "b"), "id", trees=20, contamination=0.01)
+    assert rows.filter("id = 7").first().es_anomalia == 1 and 0 < rows.agg(F.sum("es_anomalia")).first()[0] <= 400
+
+
 def test_raster(spark):
     px = [(0, 0, 8000.0, 1000.0, 2000.0, 1900.0, 1), (0, 1, 8000.0, 1000.0, 8000.0, 1000.0, 1), (1, 0, 1000.0, 1000.0, 0.0, 0.0, 2)]
     df = spark.createDataFrame(px, "row int, col int, n0 double, r0 double, n1 double, r1 double, zone int")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralens.functions.conform import clamp, code, decimal_sum, half_up  # noqa: F401
+from terralens.functions.conform import code, decimal_sum, half_up
 from terralens.operators import index, territory
 from terralens.schema import LEVELS
 

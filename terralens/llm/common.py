@@ -190,7 +190,7 @@ def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
 
     delta = np.diff(keys, prepend=U64(0))
     parts = [delta.view(np.uint8).reshape(-1, 8).T.tobytes()]
-    parts += [np.ascontiguousarray(c).view(np.uint8).reshape(len(keys), -1).T.tobytes() for c in columns]
+    parts += [np.ascontiguousarray(c).view(np.uint8).reshape(len(keys), c.dtype.itemsize).T.tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + b"".join(parts))
 
 

@@ -273,9 +273,6 @@ SQL = None
 #: Candidates: BANDS runs of BAND least hashes. A pair at similarity 0.8 shares a
 #: band with probability 1 - (1 - 0.8**4)**20, all but three in a hundred thousand.
 BANDS, BAND = 20, 4
-#: Fingerprints of texts at similarity 0.8 differ in ten bits of 64 on average;
-#: a pair that differs in more than this many is not compared further.
-FAR = 30
 _PERMUTE = mix64(np.arange(1, BANDS * BAND + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SETS = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("content", pa.int64()), ("file", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS_DDL = "rid long, id long, content long, file int, start long, n long, fp long, bands array<long>"
@@ -360,7 +357,6 @@ def _linked(root: str, threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for rows in members(batches):
-            fps = np.array([r[4] for r in rows], np.int64).view(U64)
             sizes = np.array([r[3] for r in rows], np.int64)
             take = lambda i: hx.Column.get(f"{root}/sets-{rows[i][1]}", np.uint32)[rows[i][2] : rows[i][2] + rows[i][3]]  # noqa: B023, E731
             open_ = np.arange(len(rows))
@@ -369,9 +365,9 @@ def _linked(root: str, threshold: float):
                 while front and len(open_):
                     i = front.pop()
                     mine = take(i)
-                    near = np.bitwise_count(fps[open_] ^ fps[i]) <= FAR
-                    # sets of too different a size cannot be similar enough
-                    near &= np.minimum(sizes[open_], len(mine)) >= threshold * np.maximum(sizes[open_], len(mine))
+                    # sets of too different a size cannot be similar enough; fingerprints
+                    # rule nothing out, as they count repeated shingles and sets do not
+                    near = np.minimum(sizes[open_], len(mine)) >= threshold * np.maximum(sizes[open_], len(mine))
                     hit = [n for n in np.flatnonzero(near).tolist() if similarity(mine, take(int(open_[n]))) >= threshold]
                     found = open_[hit]
                     out += [(rows[i][0], rows[j][0]) for j in found.tolist()]
@@ -404,13 +400,13 @@ def near_duplicate_groups(df: DataFrame, rid_col: str, k: int = 5, threshold: fl
     one = F.min(F.struct("rid", "file", "start", "n", "fp", "bands")).alias("one")
     reps = stash(rows.groupBy("content").agg(one).select("content", "one.*"), "set-reps")
 
-    banded = reps.select(F.explode("bands").alias("key"), "rid", "file", "start", "n", "fp")
+    banded = reps.select(F.explode("bands").alias("key"), "rid", "file", "start", "n")
     # the index's links as buckets: a component of close fingerprints is one bucket
     nodes = reps.select("fp").distinct()
     close = components(fingerprint_links(nodes, radius))
-    indexed = reps.join(close, reps.fp == close.node).select(F.xxhash64("root", F.lit("fp")).alias("key"), "rid", "file", "start", "n", "fp")
+    indexed = reps.join(close, reps.fp == close.node).select(F.xxhash64("root", F.lit("fp")).alias("key"), "rid", "file", "start", "n")
     same = reps.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
-    equal = reps.join(same, "fp").select(F.xxhash64("fp", F.lit("eq")).alias("key"), "rid", "file", "start", "n", "fp")
+    equal = reps.join(same, "fp").select(F.xxhash64("fp", F.lit("eq")).alias("key"), "rid", "file", "start", "n")
     dealt = banded.unionByName(indexed).unionByName(equal).repartition(parts, "key").sortWithinPartitions("key", "rid")
     found = components(dealt.mapInArrow(_linked(root, threshold), "a long, b long"))  # writes them, so the sets can go
     drop_path(spark, root)

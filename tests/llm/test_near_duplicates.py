@@ -68,3 +68,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(map(str, ((x.doc_id, x.text) for x in S.drop_near_duplicates(df).collect()))) == ["(1, 'a b')", "(None, 'c')", "(None, None)"]
     assert S.drop_near_duplicates(df.filter("false")).collect() == []
     assert S.drop_near_duplicates(df.filter("text is null")).count() == 1
+
+
+def test_copies_with_a_long_repeated_run(spark):
+    # the run sets the fingerprint of the copy, and adds few shingles to its set
+    r = random.Random(3)
+    rows = []
+    for i in range(30):
+        w = [f"w{i}x{r.randrange(10**6)}" for _ in range(300)]
+        rows += [" ".join(w), " ".join(w + ["junk"] * r.randrange(150, 401))]
+    apart = [bin(a ^ b).count("1") for a, b in zip(*[iter([S.simhash(S.shingle_hashes(t, 5)) for t in rows])] * 2, strict=True)]
+    assert max(apart) > 30
+    assert groups(rows) == [i - i % 2 for i in range(60)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA).repartition(3)
+    assert sorted(x.doc_id for x in S.drop_near_duplicates(df).collect()) == list(range(0, 60, 2))

@@ -98,6 +98,7 @@ class Field:
         self.keys, self.weights = np.zeros(0, U64), np.zeros(0)
         self.bias, self.start, self.trans = -4.0, 0.0, np.zeros((2, 2))
         self.line = np.array([-2.0, 0.0, 0.0])
+        self.learnt = True
 
     def emissions(self, numbers: np.ndarray) -> np.ndarray:
         return self.bias + (np.append(self.weights, 0.0)[numbers]).sum(axis=1)
@@ -136,18 +137,31 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.evidence(p, rows) @ self.line, -60, 60)))
 
 
+def within_bytes(sizes: list[int], labels: list[int]) -> list[int]:
+    """The rows, in order, that a sample of MAX_BYTES holds. The label with fewer bytes
+    so far comes next, toxic first, and a row that doesn't fit is passed over: none
+    ends the sample, and no label fills it before the other has had its turn."""
+    ahead = {y: [i for i, label in enumerate(labels) if (label == 1) == (y == 1)][::-1] for y in (1, 0)}
+    used, keep = {1: 0, 0: 0}, []
+    while ahead[1] or ahead[0]:
+        y = min((y for y in (1, 0) if ahead[y]), key=used.get)
+        i = ahead[y].pop()
+        if used[1] + used[0] + sizes[i] <= MAX_BYTES:
+            used[y] += sizes[i]
+            keep.append(i)
+    return sorted(keep)
+
+
 def _thinned(texts: list[str], labels: list[int]):
     """The sample without copies of its own documents: copies would count as
     independent evidence for every word they hold."""
-    seen, keep, size = set(), [], 0
-    for i, x in enumerate(texts):
+    seen, keep = set(), []
+    for i in within_bytes([len(x.encode()) for x in texts], labels):
+        x = texts[i]
         data, offs = text_bytes(pa.array([x]))
         _, _, _, h = words(data, offs, lower=True)
         runs = run_hashes(h, 5) if len(h) >= 5 else h
         least = set(np.partition(runs, 2)[:3].tolist()) if len(runs) > 3 else set(runs.tolist())
-        size += len(data)
-        if size > MAX_BYTES:
-            break
         if not least & seen:
             seen |= least
             keep.append(i)
@@ -173,6 +187,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30) -> Field:
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         field.line = np.array([np.log(share / (1 - share)), 0.0, 0.0])
+        field.learnt = False
         return field
 
     col = pa.array(texts, pa.large_string())
@@ -367,7 +382,10 @@ def tag(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_toxic(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows with a score below one half, all columns."""
+    """The rows with a score below one half, all columns; every row if the field has
+    not seen both labels, as its scores then tell no document from another."""
+    if not field.learnt:
+        return df
     model = df.sparkSession.sparkContext.broadcast(field)
     at = df.columns.index(text_col)
 
@@ -389,8 +407,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Field:
 
     def run(batches):
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        size = np.cumsum([len(r[1]) for r in rows]) if rows else np.zeros(0)
-        rows = rows[: int(np.searchsorted(size, MAX_BYTES, "right"))]
+        rows = [rows[i] for i in within_bytes([len(r[1].encode()) for r in rows], [r[2] for r in rows])]
         field = fit([r[1] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(field)], pa.binary())})
 

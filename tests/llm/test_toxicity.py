@@ -82,3 +82,27 @@ def test_query(spark):
     assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     test = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in test) / len(test) > 0.9
+
+
+def test_long_rows_do_not_end_the_sample(monkeypatch):
+    texts = [t for _, t, _ in corpus(600, 5)]
+    labels = [y for _, _, y in corpus(600, 5)]
+    monkeypatch.setattr(X, "MAX_BYTES", 2 * sum(len(t.encode()) for t in texts))
+    long = "karanx " * (X.MAX_BYTES // 7 + 1)
+    for y in (0, 1):
+        field, want = X.fit([long, *texts], [y, *labels]), X.fit(texts, labels)
+        assert field.learnt and np.array_equal(field.keys, want.keys) and np.allclose(field.line, want.line)
+
+
+def test_one_label_does_not_fill_the_sample(monkeypatch):
+    monkeypatch.setattr(X, "MAX_BYTES", 100)
+    assert X.within_bytes([60, 60, 30, 5, 200, 5], [0, 0, 0, 1, 1, 1]) == [0, 2, 3, 5]
+    assert X.within_bytes([50, 50], [0, 1]) == [0, 1]
+    assert X.within_bytes([], []) == []
+
+
+def test_nothing_is_dropped_without_both_labels(spark):
+    frame = spark.createDataFrame([(1, "a b", ""), (2, None, "")], SCHEMA)
+    for rows in ([], [(1, 1), (2, 1)], [(1, 0), (2, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert X.drop_toxic(frame, X.trained(frame, labels)).count() == 2

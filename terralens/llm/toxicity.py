@@ -24,7 +24,8 @@ from terralens.llm.substring import run_hashes
 
 #: Bound of the training sample (documents of either label, bytes of text) and of the model.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MAX_FEATURES = 2000, 6000, 24 << 20, 1 << 18
-#: Sequences that the field is trained on, and the tokens of one.
+#: Sequences that the field is trained on, and the tokens of one. Training takes each
+#: by itself; tagging carries the passes over the cuts.
 MAX_SEQUENCES = 20_000
 LENGTH = 64
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -55,8 +56,9 @@ class Tokens:
 
 
 def padded(rows: np.ndarray):
-    """(place, step, sequence count): where each token goes when rows are cut into
-    sequences of LENGTH and laid out step by sequence."""
+    """(step, sequence, sequence count): where each token goes when rows are cut into
+    sequences of LENGTH and laid out step by sequence. A row's sequences follow one
+    another."""
     n = np.diff(rows)
     within = np.arange(rows[-1]) - np.repeat(rows[:-1], n)
     cuts = -(-n // LENGTH)
@@ -69,11 +71,13 @@ def _lse_ratio(a, b, c, d, x):
     return np.logaddexp(a, b + x) - np.logaddexp(c, d + x)
 
 
-def marginals(score: np.ndarray, real: np.ndarray, trans: np.ndarray, start: float):
+def marginals(score: np.ndarray, real: np.ndarray, trans: np.ndarray, start, after=0.0):
     """Forward and backward log-odds and P(label 1) of every step (step x sequence).
-    ``score`` is the log-odds of a token by itself, ``trans[i][j]`` the weight of label j after i."""
+    ``score`` is the log-odds of a token by itself, ``trans[i][j]`` the weight of label j after i;
+    ``start`` and ``after`` are what comes in before the first step and, of full sequences, after the last."""
     steps = len(score)
     fwd, bwd = np.empty_like(score), np.zeros_like(score)
+    bwd[-1:] = after
     for t in range(steps):
         fwd[t] = score[t] + (start if t == 0 else _lse_ratio(trans[0, 1], trans[1, 1], trans[0, 0], trans[1, 0], fwd[t - 1]))
     for t in range(steps - 2, -1, -1):
@@ -82,6 +86,47 @@ def marginals(score: np.ndarray, real: np.ndarray, trans: np.ndarray, start: flo
     return fwd, bwd, 1 / (1 + np.exp(-np.clip(fwd + bwd, -60, 60)))
 
 
+def carried(score: np.ndarray, real: np.ndarray, trans: np.ndarray, start: float, cuts: np.ndarray):
+    """(start, after) for the sequences of documents of ``cuts`` sequences each, so that
+    the passes run over whole documents. A sequence maps the odds that come in to those
+    that go out as a 2 x 2 matrix (kept as logs): the product of its steps forward, and
+    its transpose backward."""
+    first = np.cumsum(cuts) - cuts
+    before, after = np.full(score.shape[1], start, float), np.zeros(score.shape[1])
+    docs = np.flatnonzero(cuts > 1)
+    if not len(docs):
+        return before, after
+    (t00, t01), (t10, t11) = trans
+    where = np.repeat(cuts > 1, cuts)  # sequences with a neighbour
+    at = np.cumsum(where) - 1
+    s, r = score[:, where], real[:, where]
+    m = [t11 + s[0], t01 + s[0], np.full(s.shape[1], t10), np.full(s.shape[1], t00)]
+    opens = at[first[docs]]
+    m[0][opens] = m[1][opens] = s[0, opens] + start
+    m[2][opens] = m[3][opens] = 0.0
+    for t in range(1, len(s)):
+        a, b, c, d = m
+        step = s[t] + np.logaddexp(t11 + a, t01 + c), s[t] + np.logaddexp(t11 + b, t01 + d), np.logaddexp(t10 + a, t00 + c), np.logaddexp(t10 + b, t00 + d)
+        m = [np.where(r[t], new, old) for new, old in zip(step, m, strict=True)]
+    x = np.zeros(len(docs))
+    for j in range(int(cuts.max()) - 1):
+        go = cuts[docs] > j + 1
+        docs, x = docs[go], x[go]
+        i = at[first[docs] + j]
+        x = np.logaddexp(m[0][i] + x, m[1][i]) - np.logaddexp(m[2][i] + x, m[3][i])
+        before[first[docs] + j + 1] = _lse_ratio(t01, t11, t00, t10, x)
+    docs = np.flatnonzero(cuts > 1)
+    last = first[docs] + cuts[docs] - 1
+    x = np.zeros(len(docs))
+    for j in range(int(cuts.max()) - 1):
+        go = cuts[docs] > j + 1
+        docs, last, x = docs[go], last[go], x[go]
+        i = at[last - j]
+        x = np.logaddexp(m[0][i] + x, m[2][i]) - np.logaddexp(m[1][i] + x, m[3][i])
+        after[last - j - 1] = x
+    return before, after
+
+
 def _pair_marginals(fwd, bwd, score, trans):
     """P(labels i, j of steps t, t+1), as four arrays."""
     a, c = fwd[:-1], score[1:] + bwd[1:]
@@ -120,7 +165,8 @@ class Field:
         score, real = np.zeros((LENGTH, count)), np.zeros((LENGTH, count), bool)
         score[step, seq] = self.emissions(numbers)[t.kind]
         real[step, seq] = True
-        return marginals(score, real, self.trans, self.start)[2][step, seq]
+        before, after = carried(score, real, self.trans, self.start, -(-np.diff(t.rows) // LENGTH))
+        return marginals(score, real, self.trans, before, after)[2][step, seq]
 
     @staticmethod
     def evidence(p: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -106,3 +106,23 @@ def test_nothing_is_dropped_without_both_labels(spark):
     for rows in ([], [(1, 1), (2, 1)], [(1, 0), (2, 0)]):
         labels = spark.createDataFrame(rows, "doc_id long, toxic int")
         assert X.drop_toxic(frame, X.trained(frame, labels)).count() == 2
+
+
+def test_passes_cross_the_cuts_of_long_documents():
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    sizes = [0, 1, 63, 64, 65, 128, 129, 700, 0, 3]
+    texts = [" ".join(r.choice(words, n)) for n in sizes]
+    data, offs = X.text_bytes(X.pa.array(texts))
+    t = X.Tokens(data, offs)
+    field = X.Field()
+    field.keys = np.sort(t.features[:, 0])
+    field.weights, field.bias = r.normal(size=len(field.keys)) * 2, -0.5
+    field.start, field.trans = 0.8, np.array([[0.0, -1.5], [-2.0, 2.5]])
+    score = field.emissions(field.numbers(t.features))[t.kind]
+    want = []
+    for a, b in zip(t.rows[:-1], t.rows[1:], strict=True):  # each document as one sequence
+        if b > a:
+            want.append(X.marginals(score[a:b, None], np.ones((b - a, 1), bool), field.trans, field.start)[2][:, 0])
+    assert np.diff(t.rows).tolist() == sizes
+    assert np.allclose(field.tag(t), np.concatenate(want), rtol=0, atol=1e-12)

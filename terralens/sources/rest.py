@@ -61,13 +61,27 @@ def feature_pages(get, url: str, fields: str = "*", page: int = 1000, pause: flo
         time.sleep(pause)
 
 
+def feature_part(get, url: str, fields: str, page: int, at: int, pause: float = 0.3):
+    """Attributes of the ``page`` features from an offset on, in as many requests as a
+    service with a lower limit of its own needs."""
+    end = at + page
+    while at < end:
+        rows, more = feature_page(get, url, fields, end - at, at)
+        yield from rows
+        if not more or not rows:
+            return
+        at += len(rows)
+        if at < end:
+            time.sleep(pause)
+
+
 class Page(InputPartition):
     def __init__(self, at: int):
         self.at = at
 
 
 class _Pages(DataSourceReader):
-    """``rows(options)`` reads all pages, ``one(options, offset)`` a single one."""
+    """``rows(options)`` reads all pages, ``one(options, offset)`` those of a single one."""
 
     def __init__(self, options, schema, rows, one, size):
         self.options, self.schema, self.rows, self.one, self.size = options, schema, rows, one, size
@@ -108,6 +122,6 @@ class FeaturePages(DataSource):
     def reader(self, schema):
         get, size = self.fetch, int(self.options.get("page", 1000))
         fields = self.options.get("fields", "*")
-        return _Pages(self.options, schema, lambda o: feature_pages(get, o["url"], fields, size, float(o.get("pause", 0.3))), lambda o, at: feature_page(get, o["url"], fields, size, at)[0], size)
+        return _Pages(self.options, schema, lambda o: feature_pages(get, o["url"], fields, size, float(o.get("pause", 0.3))), lambda o, at: feature_part(get, o["url"], fields, size, at, float(o.get("pause", 0.3))), size)
 
     fetch = staticmethod(fetch)

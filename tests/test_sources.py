@@ -59,6 +59,24 @@ def test_paging():
     assert [r["n"] for r in rest.feature_pages(lambda u: pages.pop(0), "http://x", pause=0)] == [1, 2]
 
 
+def test_feature_pages_above_the_limit_of_the_service(spark):
+    class Limited(rest.FeaturePages):
+        @staticmethod
+        def fetch(url):  # 10 rows, 2 at most in an answer
+            q = dict(x.split("=") for x in url.split("?")[1].split("&"))
+            at, n = int(q["resultOffset"]), min(2, int(q["resultRecordCount"]))
+            return {"features": [{"attributes": {"n": i}} for i in range(at, min(10, at + n))], "exceededTransferLimit": at + n < 10}
+
+        @classmethod
+        def name(cls):
+            return "limited_pages"
+
+    spark.dataSource.register(Limited)
+    read = spark.read.format("limited_pages").schema("n string").option("url", "http://x").option("pause", "0").option("page", "5")
+    for df in (read.load(), read.option("total", "10").load()):
+        assert sorted(int(r.n) for r in df.collect()) == list(range(10))
+
+
 def test_data_source_rows(spark):
     class Local(rest.OffsetPages):
         fetch = staticmethod(lambda url: [{"a": "x", "n": 5}, {}])

@@ -1,12 +1,11 @@
-"""Exact duplicate passages by relative Lempel-Ziv parsing.
-
-The reference is the whole table, indexed in blocks: a block holds, as one sorted
-hash array, every passage of ``min_words`` words that stands at two places or
-more and whose hash falls into the block. A document is parsed greedily against
-all blocks: a factor opens at a word whose passage is in the index and grows word
-by word while the next passage is there too; where it breaks, the passages that
-straddle its boundary are tried as well, so a factor that overlaps the last one
-isn't missed. Words outside factors are literals; words inside are duplicates.
+"""Exact duplicate passages by look-up of hashed windows.
+
+The index is over the whole table, in blocks: a block holds, as one sorted hash
+array, every passage of ``min_words`` words that stands at two places or more and
+whose hash falls into the block. Every passage of a document is looked up, and the
+words of those found are duplicates. This takes the place of a relative Lempel-Ziv
+parse: there are no greedy factors, no positions in a reference and no tests at
+factor boundaries, since with all windows looked up no passage can straddle one.
 
 Only passages with a repeated anchor are worth indexing. The anchor of a passage
 is its least hash of ``min_words // 2 - 1`` consecutive words, so equal passages

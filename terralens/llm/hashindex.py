@@ -18,13 +18,33 @@ from terralens.llm.common import U64, filesystem, pack, put_file, unpack
 
 BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 BLOBS_DDL = "bucket int, blob binary"
-#: Keys a mapper holds before it folds and sends them.
-FLUSH = 1_500_000
+#: Keys a mapper holds, at least and at most, before it folds and sends them.
+FLUSH, FLUSH_MOST = 1_500_000, 12_000_000
 
 
 def bucket_bits(n_bytes: int, per_bucket: int = 32 << 20) -> int:
-    """Bits of the bucket number: buckets follow the input's size, from 32 (so that small tables use several tasks) to 2**16."""
-    return min(16, max(5, (max(1, n_bytes) // per_bucket).bit_length()))
+    """Bits of the bucket number: buckets follow the input's size, from 32 on (so that
+    small tables use several tasks). The number is an int, whose 30 bits would do for
+    an exabyte."""
+    return min(30, max(5, (max(1, n_bytes) // per_bucket).bit_length()))
+
+
+def flush_size(bits: int) -> int:
+    """Keys a mapper holds: more where there are many buckets, so that a bucket's share
+    stays worth a message."""
+    return min(FLUSH_MOST, max(FLUSH, 64 << bits))
+
+
+def bitmap(numbers, bits: int) -> np.ndarray:
+    """The set of bucket numbers as bits: an eighth of a byte for a bucket."""
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    numbers = np.asarray(numbers, np.int64)
+    np.bitwise_or.at(out, numbers >> 3, np.left_shift(1, numbers & 7).astype(np.uint8))
+    return out
+
+
+def has(filled: np.ndarray, bucket: int) -> bool:
+    return bool(filled[bucket >> 3] >> (bucket & 7) & 1)
 
 
 def fold(keys: np.ndarray, counts: np.ndarray | None = None):
@@ -50,7 +70,7 @@ def bucket_edges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def spool(arrays, bits: int, cap: int | None = None):
     """Batches of (bucket, packed keys and counts) from arrays of keys."""
-    held, size = [], 0
+    held, size, limit = [], 0, flush_size(bits)
 
     def flush():
         keys, counts = fold(np.concatenate(held))
@@ -64,7 +84,7 @@ def spool(arrays, bits: int, cap: int | None = None):
     for a in arrays:
         held.append(a)
         size += len(a)
-        if size >= FLUSH:
+        if size >= limit:
             yield flush()
             held, size = [], 0
     if held:
@@ -96,19 +116,32 @@ def gathered(blob_df, parts: int):
     return blob_df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
-def written(spark, blob_df, root: str, least: int) -> set[int]:
-    """Write the keys that occur ``least`` times or more as sorted arrays below
-    ``root``; returns the numbers of the filled buckets, 2**16 at most."""
+def write_buckets(blob_df, one, bits: int) -> np.ndarray:
+    """Deal the blobs out by bucket and call ``one(bucket, blobs)``, which writes what
+    it wants and tells whether it did. Returns the filled buckets as a bitmap; every
+    task sends its numbers in one row."""
+    spark = blob_df.sparkSession
+
     def write(batches):
-        for bucket, parts in by_bucket(batches):
-            keys, counts = merged(parts, np.uint8)
-            keys = keys[counts >= least]
-            if len(keys):
-                put_file(f"{root}/{bucket}.key", keys)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32())})
+        done = [bucket for bucket, blobs in by_bucket(batches) if one(bucket, blobs)]
+        yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(done, np.int32).tobytes()], pa.binary())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return {r[0] for r in gathered(blob_df, parts).mapInArrow(write, "bucket int").collect()}
+    rows = gathered(blob_df, parts).mapInArrow(write, "done binary").collect()
+    return bitmap(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in rows)]), bits)
+
+
+def written(blob_df, root: str, least: int, bits: int) -> np.ndarray:
+    """Write the keys that occur ``least`` times or more as sorted arrays below
+    ``root``; returns the filled buckets."""
+    def one(bucket, blobs):
+        keys, counts = merged(blobs, np.uint8)
+        keys = keys[counts >= least]
+        if len(keys):
+            put_file(f"{root}/{bucket}.key", keys)
+        return len(keys) > 0
+
+    return write_buckets(blob_df, one, bits)
 
 
 class Column:
@@ -141,7 +174,7 @@ class Column:
             del cls._open[uri]
 
 
-def find(root: str, bits: int, filled: set[int], sorted_keys: np.ndarray, columns: dict[str, object]) -> dict[str, np.ndarray]:
+def find(root: str, bits: int, filled: np.ndarray, sorted_keys: np.ndarray, columns: dict[str, object]) -> dict[str, np.ndarray]:
     """Rows of sorted keys in the arrays below ``root``; missing keys get zeros.
     ``found`` tells which are there."""
     out = {c: np.zeros(len(sorted_keys), kind) for c, kind in columns.items()}
@@ -150,7 +183,7 @@ def find(root: str, bits: int, filled: set[int], sorted_keys: np.ndarray, column
         return out
     tops, at = bucket_edges(sorted_keys, bits)
     for b, lo, hi in zip(tops.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b not in filled:
+        if not has(filled, b):
             continue
         keys, want = Column.get(f"{root}/{b}.key", U64), sorted_keys[lo:hi]
         i = np.searchsorted(keys, want)

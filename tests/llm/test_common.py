@@ -55,10 +55,10 @@ def test_index_files(tmp_path):
         C.put_file(f"{root}/{t}.key", keys[a:b])
         C.put_file(f"{root}/{t}.n", np.arange(a, b, dtype=np.int64))
     want = np.sort(np.concatenate((keys[::7], keys[::11] + U64(1))))
-    got = H.find(root, bits, set(tops.tolist()), want, {"n": np.int64})
+    got = H.find(root, bits, H.bitmap(tops, bits), want, {"n": np.int64})
     inside = np.isin(want, keys)
     assert (got["found"] == inside).all() and (keys[got["n"][inside]] == want[inside]).all()
-    assert not H.find(root, bits, set(), want, {})["found"].any()
+    assert not H.find(root, bits, H.bitmap([], bits), want, {})["found"].any()
 
 
 def test_spool_folds_and_caps():
@@ -66,3 +66,15 @@ def test_spool_folds_and_caps():
     (bucket, blobs), = list(H.by_bucket(batches))
     keys, counts = H.merged(blobs, np.uint8)
     assert bucket == 0 and keys.tolist() == [7, 9] and counts.tolist() == [2, 1]
+
+
+def test_bitmap():
+    for bits in (0, 2, 3, 9):
+        for chosen in ([], [0], [0, (1 << bits) - 1], list(range(1 << bits))):
+            m = H.bitmap(chosen, bits)
+            assert [b for b in range(1 << bits) if H.has(m, b)] == sorted(set(chosen))
+
+
+def test_buckets_have_no_ceiling():
+    assert H.bucket_bits(0) == 5 and H.bucket_bits(100 << 40) == 22 and H.bucket_bits(100 << 40, 16 << 20) == 23
+    assert H.flush_size(5) == H.FLUSH and H.flush_size(22) == H.FLUSH_MOST

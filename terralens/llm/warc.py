@@ -1,7 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Writing: every task writes one archive of gzip members, a record per row. Of equal
-payloads one is stored (response), the others refer to it (revisit). Indexing: the
+payloads one is stored (response), the others refer to it (revisit). Only digests are
+shuffled: those that occur twice or more are written as sorted files, in which the
+writers look their rows up, so a payload stays where it was read. Indexing: the
 captures are sorted by reversed-host URL key and dealt into index shards; a shard
 is a file of compressed blocks of sorted lines plus a sparse directory with the
 first key of each block. Reading: binary search over the shards' first keys, then
@@ -18,11 +20,13 @@ from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm.common import filesystem, put_file, scratch, stash
+from terralens.llm.common import U64, filesystem, put_file, scratch, stash
+from terralens.llm.hashindex import Column, bitmap, bucket_bits, bucket_edges, has
 
 BLOCK_LINES = 256
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -31,8 +35,9 @@ NO_ID = -(1 << 63)
 
 
 def url_key(url: str | None) -> str:
-    """Reversed-host key: ``http://www.A.example/x?y#z`` -> ``example,a)/x?y``."""
-    url = (url or "").strip()
+    """Reversed-host key: ``http://www.A.example/x?y#z`` -> ``example,a)/x?y``, the same
+    for a URL and for the form of it that headers hold."""
+    url = _uri(url)
     try:
         p = urlsplit(url if "://" in url else "//" + url)
         host, port = (p.hostname or "").removeprefix("www."), p.port
@@ -47,7 +52,9 @@ def digest_of(payload: bytes) -> str:
 
 
 def _uri(url: str | None) -> str:
-    return quote(url or "", safe="%/:?#[]@!$&'()*+,;=~-._")
+    """The URL as a header holds it: without blanks around it, and what no URL may hold
+    percent-encoded. Index keys are made of this form too, on writing and on reading."""
+    return quote((url or "").strip(), safe="%/:?#[]@!$&'()*+,;=~-._")
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, target: tuple | None, date: str) -> bytes:
@@ -78,45 +85,123 @@ def _id_of(urn: str | None) -> int | None:
 _ENTRY = pa.schema([("key", pa.string()), ("id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
 
 
+class Repeats:
+    """The digests that occur twice or more, with id and URL of the record that holds
+    the payload, as sorted arrays per bucket of digests, which writers map and search."""
+
+    def __init__(self, root: str, bits: int, filled: np.ndarray):
+        self.root, self.bits, self.filled = root, bits, filled
+
+    def of(self, shas: np.ndarray) -> list[tuple | None]:
+        """(id, URL), or nothing, of each of the 20-byte digests (rows of an array)."""
+        out: list = [None] * len(shas)
+        keys = sha_key(shas)
+        order = np.argsort(keys, kind="stable")
+        tops, at = bucket_edges(keys[order], self.bits) if len(keys) else ([], [0])
+        for b, lo, hi in zip(tops, at[:-1], at[1:], strict=True):
+            if not has(self.filled, b):
+                continue
+            column = lambda name, kind: Column.get(f"{self.root}/{b}.{name}", kind)  # noqa: B023, E731
+            full, ids, places, urls = column("sha", np.uint8).reshape(-1, 20), column("id", np.int64), column("at", np.int64), column("url", np.uint8)
+            rows = order[lo:hi]
+            # a key is the digest's first 8 bytes: what shares them is told apart by all 20
+            first = np.searchsorted(column("key", U64), keys[rows], "left")
+            last = np.searchsorted(column("key", U64), keys[rows], "right")
+            for i, j, k in zip(rows.tolist(), first.tolist(), last.tolist(), strict=True):
+                while j < k and (full[j] != shas[i]).any():
+                    j += 1
+                if j < k:
+                    out[i] = int(ids[j]), urls[places[j] : places[j + 1]].tobytes().decode()
+        return out
+
+
+def sha_key(shas: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(shas[:, :8]).view(">u8").reshape(-1).astype(U64)
+
+
+def write_repeats(keyed: DataFrame, root: str) -> Repeats:
+    """Find the repeated digests of rows (sha, id, url) and write them below ``root``.
+
+    Partial counts run in the tasks that read, so a frequent payload costs a row per
+    task. Buckets follow the number of rows.
+    """
+    spark = keyed.sparkSession
+    bits = bucket_bits(keyed.count(), 1 << 18)
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    firsts = keyed.groupBy("sha").agg(least.alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 AND first IS NOT NULL")
+    top = F.conv(F.substring("sha", 1, 8), 16, 10).cast("long")
+    dealt = firsts.select(F.shiftright(top, 32 - bits).cast("int").alias("bucket"), F.unhex("sha").alias("sha"), "first.id", F.coalesce("first.url", F.lit("")).alias("url"))
+
+    def run(batches):
+        now, rows, done = None, [], []
+
+        def close():
+            shas = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 20)
+            urls = [r[2].encode() for r in rows]
+            put_file(f"{root}/{now}.key", sha_key(shas))
+            put_file(f"{root}/{now}.sha", shas.tobytes())
+            put_file(f"{root}/{now}.id", np.array([r[1] for r in rows], np.int64))
+            put_file(f"{root}/{now}.at", np.cumsum([0, *map(len, urls)], dtype=np.int64))
+            put_file(f"{root}/{now}.url", b"".join(urls))
+            done.append(now)
+
+        for b in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now and rows:
+                    close()
+                    rows = []
+                now = bucket
+                rows.append(row)
+        if rows:
+            close()
+        yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(done, np.int32).tobytes()], pa.binary())})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "sha").mapInArrow(run, "done binary").collect()
+    return Repeats(root, bits, bitmap(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in got)]), bits))
+
+
 def write_archives(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the archives below ``root``; returns the captures (key, id, file, start, length).
 
     Equal payloads of ``min_bytes`` or more: the smallest id is the response (all
     rows with that id, if it is repeated), the others are revisits. A null payload
     is empty; a null id counts only where its group has no other and is then the
-    response. A null URL has the key ``)/``.
+    response. A null URL has the key ``)/``. An archive has the name of the task
+    attempt that wrote it, so of two attempts one's file never stands beside the
+    other's offsets.
     """
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    keyed = src.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    # One row per payload; partial sums first, so a frequent payload costs a row per task.
-    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
-    firsts = keyed.groupBy("sha").agg(least.alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha", "first")
-    rows = keyed.join(firsts, "sha", "left").select("id", "url", "payload", "first")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    keyed = src.withColumn("sha", F.sha1("payload"))
+    repeats = write_repeats(keyed.select("sha", "id", "url"), f"{root}/repeats")
 
     def run(batches):
         from pyspark import TaskContext
 
-        name = f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
+        task = TaskContext.get()
+        name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         fsys, path = filesystem(f"{root}/{name}")
         fsys.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        tmp, at, out = f"{path}.{TaskContext.get().taskAttemptId()}.tmp", 0, None
+        at, out = 0, None
         for batch in batches:
             done = []
-            for x in batch.to_pylist():
-                if out is None:
-                    out = fsys.open_output_stream(tmp)
-                payload, first = x["payload"].encode(), x["first"]
-                repeat = first is not None and first["id"] != x["id"] and len(payload) >= min_bytes
-                member = make_record(x["id"], x["url"], payload, digest_of(payload), (first["id"], first["url"]) if repeat else None, date)
+            ids, urls, shas = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            found = repeats.of(np.frombuffer(bytes.fromhex("".join(shas)), np.uint8).reshape(-1, 20))
+            for page_id, url, payload, sha, first in zip(ids, urls, batch.column(2), shas, found, strict=True):
+                out = out or fsys.open_output_stream(path, compression=None)
+                payload = payload.as_py()
+                repeat = first is not None and first[0] != page_id and len(payload) >= min_bytes
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                member = make_record(page_id, url, payload, digest, first if repeat else None, date)
                 out.write(member)
-                done.append((url_key(x["url"]), x["id"], name, at, len(member)))
+                done.append((url_key(url), page_id, name, at, len(member)))
                 at += len(member)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY)
         if out is not None:
             out.close()
-            fsys.move(tmp, path)
 
+    rows = keyed.select("id", "url", "payload", "sha")
     return stash(rows.mapInArrow(run, "key string, id long, file string, start long, length long"), "captures")
 
 
@@ -130,7 +215,7 @@ def write_index(captures: DataFrame, root: str, block_lines: int = BLOCK_LINES)
     def run(batches):
         from pyspark import TaskContext
 
-        shard = f"index-{TaskContext.get().partitionId():06d}"
+        shard = f"index-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
         blocks, directory, lines, at, first = [], [], [], 0, None
 
         def close():

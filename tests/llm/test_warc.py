@@ -44,6 +44,44 @@ def test_small_payloads_and_repeated_rows(spark):
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None), ("1", "response", None), ("2", "revisit", 1), ("None", "response", None), ("None", "revisit", 1)]
 
 
+def test_targets_of_revisits_with_odd_urls(spark):
+    odd = ["http://a.example/café", "http://a.example/a b", 'http://a.example/?q="x"', "  http://a.example/blank ", "http://a.example/%C3%A9?é=|", "", None, "http://[bad", "http://a.example/\ttab\nline", "//x y", "HTTP://A.example:80/ß#f"]
+    rows = [(10 * i, u, f"payload {i}") for i, u in enumerate(odd)] + [(10 * i + 1, "http://other.example/" + str(i), f"payload {i}") for i in range(len(odd))]
+    got, _, _ = run(spark, rows)
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in got) == sorted((i, "revisit" if i % 10 else "response", i - 1 if i % 10 else None, b32(h)) for i, _, h in rows)
+
+
+def test_one_payload_of_many_pages_and_no_payload_is_shuffled(spark, tmp_path):
+    rows = [(i, f"http://h{i % 50}.example/{i}", "same" * 500 if i % 3 else f"own {i}") for i in range(3000)]
+    got, _, _ = run(spark, rows)
+    assert sum(r.record_type == "revisit" for r in got) == 1999 and {r.refers_to for r in got if r.record_type == "revisit"} == {1}
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).select("page_id", "url", "html")
+    df.write.parquet(str(tmp_path / "p"))
+    plans = []
+    keep = A.stash
+    try:
+        A.stash = lambda d, name: plans.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d, name)
+        A.write_archives(spark.read.parquet(str(tmp_path / "p")), scratch(spark, "t"))
+    finally:
+        A.stash = keep
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_digests_that_share_a_key(spark, tmp_path):
+    import numpy as np
+    from terralens.llm.common import put_file
+    from terralens.llm.hashindex import bitmap
+
+    shas = np.zeros((3, 20), np.uint8)
+    shas[1, 19], shas[2, 10] = 1, 1
+    root = f"file://{tmp_path}"
+    for name, data in (("key", A.sha_key(shas)), ("sha", shas.tobytes()), ("id", np.array([7, 8, 9])), ("at", np.array([0, 1, 2, 3])), ("url", b"abc")):
+        put_file(f"{root}/0.{name}", data)
+    other = shas[:1].copy()
+    other[0, 15] = 9
+    assert A.Repeats(root, 5, bitmap([0], 5)).of(np.concatenate((shas[::-1], other))) == [(9, "c"), (8, "b"), (7, "a"), None]
+
+
 def test_empty_table(spark):
     assert run(spark, [])[0] == []
 

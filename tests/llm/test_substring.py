@@ -60,6 +60,43 @@ def test_spans_match_brute_force(spark):
         assert cut[i].bucket == "x" and (cut[i].text is None) == (rows[i] is None)
 
 
+def test_factors_are_copies_and_as_long_as_can_be(spark):
+    rows = fixture()
+    toks = [WORD.findall(t or "") for t in rows]
+    df = spark.createDataFrame([Row(doc_id=i, text=t, bucket="x") for i, t in enumerate(rows)], SCHEMA).repartition(5)
+    got = {r.doc_id: r for r in S.duplicate_spans(df, min_words=35).collect()}
+    block = {}
+    for i, t in enumerate(toks):
+        data, offs = S.text_bytes(S.pa.array([" ".join(t)]))
+        p = S.Passages(data, offs, 1)
+        if t:
+            block.setdefault(int(p.places(S.np.array([0]))[0]) >> 24, i)
+    seen, flat = 0, Counter(tuple(t[i : i + 35]) for t in toks for i in range(len(t) - 34))
+    for i, t in enumerate(toks):
+        end = 0
+        for f in got[i].factors:
+            src = toks[block[f.block]]
+            here = t[f.start : f.start + f.words]
+            assert f.words >= 35 and here == src[f.offset : f.offset + f.words]
+            assert toks[block[f.block]] is not t or f.offset != f.start or flat[tuple(here[:35])] > 1
+            if f.boundary:
+                assert f.words == 35 and f.start < end < f.start + 35
+            else:
+                # the parse goes on behind a factor, and words between factors begin no repeated passage
+                assert f.start >= end and all(flat[tuple(t[k : k + 35])] < 2 for k in range(end, f.start))
+                end, seen = f.start + f.words, seen + 1
+    assert seen > 60 and any(f.boundary for r in got.values() for f in r.factors) and max(f.words for r in got.values() for f in r.factors) > 80
+
+
+def test_longest_of_two_sources():
+    at = S.np.array([0, 1, 2, 3, 10])
+    own = (at + 1000).astype(S.U64)
+    a = S.np.array([50, 51, 80, 90, 1010], S.U64)  # breaks off after two passages
+    b = S.np.array([70, 71, 72, 73, 1010], S.U64)  # goes on
+    start, words, source, edge = S.factors(at, own, a, b, 4)
+    assert start.tolist() == [0, 10] and words.tolist() == [7, 4] and source.tolist() == [70, 1010] and not edge.any()
+
+
 def test_short_passages(spark):
     rows = ["a b", "b c", "c", "b a", "d d"]
     df = spark.createDataFrame([Row(doc_id=i, text=t, bucket=None) for i, t in enumerate(rows)], SCHEMA)

@@ -273,6 +273,8 @@ SQL = None
 #: Candidates: BANDS runs of BAND least hashes. A pair at similarity 0.8 shares a
 #: band with probability 1 - (1 - 0.8**4)**20, all but three in a hundred thousand.
 BANDS, BAND = 20, 4
+#: Members of a bucket that one task compares among themselves.
+CROWD = 2048
 _PERMUTE = mix64(np.arange(1, BANDS * BAND + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SETS = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("content", pa.int64()), ("file", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS_DDL = "rid long, id long, content long, file int, start long, n long, fp long, bands array<long>"
@@ -333,48 +335,68 @@ def shingle_sets(df: DataFrame, root: str, k: int, rid_col: str, id_col: str, te
 
 
 def _linked(root: str, threshold: float):
-    """Links within buckets of rows sorted by key. From the first member on, what is
-    similar is linked and in turn compared with those not yet linked, so all of a
-    component is found, with no pair of members linked already compared."""
-    def members(batches):
-        now, rows = None, []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != now:
-                    if len(rows) > 1:
-                        yield rows
-                    now, rows = row[0], []
-                rows.append(row[1:])
-        if len(rows) > 1:
-            yield rows
-
-    def run(batches):
-        out = []
-
-        def batch():
-            a, b = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for rows in members(batches):
-            sizes = np.array([r[3] for r in rows], np.int64)
-            take = lambda i: hx.Column.get(f"{root}/sets-{rows[i][1]}", np.uint32)[rows[i][2] : rows[i][2] + rows[i][3]]  # noqa: B023, E731
+    """Links within parts of buckets, of rows (key, salt, guest, rid, file, start, n)
+    sorted by the first three. From the first member on, what is similar is linked and
+    in turn compared with those not yet linked, so all of a component is found, with no
+    pair of members linked already compared. A guest, a member of another part, is then
+    linked to one member of each component that it is similar to."""
+    def take(row):
+        return hx.Column.get(f"{root}/sets-{row[1]}", np.uint32)[row[2] : row[2] + row[3]]
+
+    # sets of too different a size cannot be similar enough; fingerprints rule nothing
+    # out, as they count repeated shingles and sets do not
+    def near(sizes, n):
+        return np.flatnonzero(np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)).tolist()
+
+    class Part:
+        def __init__(self, rows, out):
+            self.rows, self.sizes = rows, np.array([r[3] for r in rows], np.int64)
+            self.component = np.arange(len(rows))
             open_ = np.arange(len(rows))
             while len(open_) > 1:
-                front, open_ = [int(open_[0])], open_[1:]
+                first, open_ = int(open_[0]), open_[1:]
+                front = [first]
                 while front and len(open_):
                     i = front.pop()
-                    mine = take(i)
-                    # sets of too different a size cannot be similar enough; fingerprints
-                    # rule nothing out, as they count repeated shingles and sets do not
-                    near = np.minimum(sizes[open_], len(mine)) >= threshold * np.maximum(sizes[open_], len(mine))
-                    hit = [n for n in np.flatnonzero(near).tolist() if similarity(mine, take(int(open_[n]))) >= threshold]
+                    mine = take(rows[i])
+                    hit = [n for n in near(self.sizes[open_], len(mine)) if similarity(mine, take(rows[open_[n]])) >= threshold]
                     found = open_[hit]
+                    self.component[found] = first
                     out += [(rows[i][0], rows[j][0]) for j in found.tolist()]
                     front += found.tolist()
                     open_ = np.delete(open_, hit)
+
+        def visit(self, row, out):
+            mine, met = take(row), set()
+            for j in near(self.sizes, len(mine)):
+                c = int(self.component[j])
+                if c not in met and similarity(mine, take(self.rows[j])) >= threshold:
+                    met.add(c)
+                    out.append((row[0], self.rows[j][0]))
+
+    def run(batches):
+        out, now, members, part = [], None, [], None
+
+        def batch():
+            a, b = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for key, salt, guest, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if len(out) > 100_000:
                     yield batch()
+                if (key, salt) != now:
+                    if part is None and len(members) > 1:
+                        Part(members, out)
+                    now, members, part = (key, salt), [], None
+                if not guest:
+                    members.append(row)
+                    continue
+                part = part or Part(members, out)
+                part.visit(row, out)
+        if part is None and len(members) > 1:
+            Part(members, out)
         if out:
             yield batch()
         hx.Column.close(root)
@@ -407,7 +429,16 @@ def near_duplicate_groups(df: DataFrame, rid_col: str, k: int = 5, threshold: fl
     indexed = reps.join(close, reps.fp == close.node).select(F.xxhash64("root", F.lit("fp")).alias("key"), "rid", "file", "start", "n")
     same = reps.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
     equal = reps.join(same, "fp").select(F.xxhash64("fp", F.lit("eq")).alias("key"), "rid", "file", "start", "n")
-    dealt = banded.unionByName(indexed).unionByName(equal).repartition(parts, "key").sortWithinPartitions("key", "rid")
+    listed = banded.unionByName(indexed).unionByName(equal)
+    # a bucket of more than CROWD rows is split by salt; each part visits those after it
+    crowded = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD)
+    crowded = stash(crowded.select("key", F.ceil(F.col("c") / CROWD).cast("int").alias("salts")), "crowded")
+    row = ["rid", "file", "start", "n"]
+    placed = listed.join(crowded, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int"))
+    guests = placed.filter("salts > 1").withColumn("other", F.explode(F.sequence(F.col("salt"), F.col("salts") - 1))).filter("other > salt")
+    rows_ = placed.select("key", "salt", F.lit(0).alias("guest"), *row).unionByName(guests.select("key", F.col("other").alias("salt"), F.lit(1).alias("guest"), *row))
+    dealt = rows_.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "guest", "rid")
     found = components(dealt.mapInArrow(_linked(root, threshold), "a long, b long"))  # writes them, so the sets can go
     drop_path(spark, root)
 
@@ -438,7 +469,7 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_c
     def keys(batches):
         yield from hx.spool((mix64(b.column(0).to_numpy().view(U64)) for b in batches), bits, 1)
 
-    filled = hx.written(spark, gone.mapInArrow(keys, hx.BLOBS_DDL), dead, 1)
+    filled = hx.written(gone.mapInArrow(keys, hx.BLOBS_DDL), dead, 1, bits)
     at = numbered.columns.index(rid)
 
     def run(batches):

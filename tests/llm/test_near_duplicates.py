@@ -63,6 +63,11 @@ def test_groups_match_brute_force(spark):
     assert sorted(x.doc_id for x in kept) == sorted(want.values()) and all(x["__rid"] == "x" for x in kept)
 
 
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 7)
+    test_groups_match_brute_force(spark)
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b", ""), (1, "a b", ""), (None, "a b", ""), (None, "c", ""), (None, None, "")], SCHEMA)
     assert sorted(map(str, ((x.doc_id, x.text) for x in S.drop_near_duplicates(df).collect()))) == ["(1, 'a b')", "(None, 'c')", "(None, None)"]

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 16
@@ -152,28 +153,37 @@ def _pairs(batches):
         yield flush()
 
 
+def _bucket(cuts: list[tuple[int, int]], key) -> Column:
+    """Number of the sorted cut points that are not above the key, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("row")) for k, h in cuts])
+    strides = F.array(*[F.lit(1 << j) for j in reversed(range(len(cuts).bit_length()))])
+    fits = lambda at, n: (at + n <= len(cuts)) & (F.get(edges, at + n - 1) <= key)
+    return F.aggregate(strides, F.lit(0), lambda at, n: F.when(fits(at, n), at + n).otherwise(at))
+
+
 def chunk_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprint every text and its edited form, next to its follower by id.
 
     Nulls count as empty texts; a null id sorts first. Rows with one id follow
-    one another in a fixed order. A table of one row is its own follower; an
+    one another by the hash of their text. Rows are dealt out by id and, where an id
+    is frequent, by that hash; only rows equal in both stay together, and these pass
+    through a task one by one. A table of one row is its own follower; an
     empty table gives an empty result. Extra columns are not read. The id must
     be an integer.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Cut points: a mergeable sketch of the ids, `buckets` numbers at most.
+    # Cut points: a mergeable sketch of the ids, `buckets` numbers at most. An id that is
+    # several of them is a hot one: its rows are cut again, by the hash of their text.
     probs = [i / buckets for i in range(1, buckets)]
-    got = src.agg(F.percentile_approx("id", probs, 20 * buckets).alias("cuts"), F.count(F.lit(1)).alias("n")).first() if probs else None
-    cuts = sorted(set(got["cuts"] or [])) if got else []
+    got = src.agg(F.percentile_approx("id", probs, 20 * buckets).alias("cuts")).first() if probs else None
+    times = Counter((got["cuts"] or []) if got else [])
+    cuts = sorted((c, -(1 << 63) + (j << 64) // m) for c, m in times.items() for j in range(m))
     key = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    bucket = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c).cast("long") for c in cuts])
-        # Number of cut points below the id, by halving the array of literals.
-        bucket = F.size(F.filter(edges, lambda c: c <= key))
-    keyed = src.withColumn("bucket", bucket.cast("int"))
+    keyed = src.withColumn("bucket", _bucket(cuts, F.struct(key.alias("k"), F.xxhash64("text").alias("row"))))
     order = keyed.withColumn("row", F.xxhash64("text"))
     # The first row of every bucket, one per bucket, closes the bucket before it.
     heads = order.select("bucket", F.struct(key.alias("k"), "row").alias("at")).groupBy("bucket").agg(F.min("at").alias("at")).orderBy("bucket").collect()

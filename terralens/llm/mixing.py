@@ -89,29 +89,71 @@ def leaf_budgets(leaves: DataFrame, share: float, weights: dict, max_epochs: int
     return out.withColumn("epochs", whole.cast("int")).select(*LEVELS, "tokens", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("rest"))
 
 
+#: Hex digits of the order by which a leaf is cut into runs, once and again.
+RUN = 3
+
+
+def _ends(slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(levels, rest, end, before, copies, picked): where the started epoch of each leaf
+    ends. ``end`` is the order of the last rows that begin before the rest is used up;
+    of ``copies`` rows with that order (rows of equal id and text) ``picked`` are taken,
+    and ``before`` tokens lie ahead of them.
+
+    A leaf is cut into 4096 runs of its order, whose totals give prefix sums; the run
+    in which the rest ends is cut so again; and of the rows left, a sixteen-millionth
+    of the leaf, equal ones are counted before they are put in order.
+    """
+    rows = slim.join(plan.filter("rest > 0").select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("order", _order(seed))
+    cut = plan.filter("rest > 0").select(*LEVELS, "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("prefix"))
+    leaf = Window.partitionBy(*LEVELS)
+    for level in (1, 2):
+        known = cut.select(*LEVELS, F.col("before").alias("base"), "prefix")
+        inside = rows.join(known, list(LEVELS)).filter(F.col("order").startswith(F.col("prefix")))
+        runs = inside.groupBy(*LEVELS, "rest", "base", F.substring("order", 1, RUN * level).alias("run")).agg(F.sum("tokens").alias("sum"))
+        upto = F.sum("sum").over(leaf.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+        runs = runs.withColumn("before", F.col("base") + F.coalesce(upto, F.lit(0))).filter("before < rest")
+        last = F.max(F.struct("run", "before"))
+        cut = stash(runs.groupBy(*LEVELS, "rest").agg(last.alias("m")).select(*LEVELS, "rest", "m.before", F.col("m.run").alias("prefix")), "mix-runs")
+    known = cut.select(*LEVELS, F.col("before").alias("base"), "prefix")
+    inside = rows.join(known, list(LEVELS)).filter(F.col("order").startswith(F.col("prefix")))
+    same = inside.groupBy(*LEVELS, "rest", "base", "order", "tokens").agg(F.count(F.lit(1)).alias("copies"))
+    upto = F.sum(F.col("tokens") * F.col("copies")).over(leaf.orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1))
+    same = same.withColumn("before", F.col("base") + F.coalesce(upto, F.lit(0))).filter("before < rest")
+    last = F.max(F.struct("order", "before", "tokens", "copies"))
+    found = same.groupBy(*LEVELS, "rest").agg(last.alias("m")).select(*LEVELS, "rest", F.col("m.order").alias("end"), "m.before", "m.tokens", "m.copies")
+    needed = F.when(F.col("tokens") > 0, F.expr("(rest - before + tokens - 1) div tokens")).otherwise(F.col("copies"))
+    return stash(found.withColumn("picked", F.least("copies", needed)).drop("tokens"), "mix-ends")
+
+
+def _numbered(ties: DataFrame, keys: list[str]) -> DataFrame:
+    """With ``nth``, the place of a row among those of equal keys, from 1. Rows are
+    numbered within the partition that ``row``, their number in a written table, came
+    from, and the partitions' counts give the rest; so no group meets in one task."""
+    ties = ties.withColumn("part", F.shiftright("row", 33))
+    counts = ties.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, "part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    inner = Window.partitionBy(*keys, "part").orderBy("row")
+    return ties.join(counts, [*keys, "part"]).withColumn("nth", F.col("ahead") + F.row_number().over(inner)).drop("part", "ahead")
+
+
 def _selection(slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Rows of the started epoch that begin before the leaf's rest is used up, with
-    the tokens taken. A leaf is cut into 4096 runs of its order; the runs' totals
-    give prefix sums, and only the run in which the rest ends is sorted by row."""
-    rows = slim.join(plan.select(*LEVELS, "epochs", "rest"), list(LEVELS)).filter("rest > 0")
-    rows = rows.withColumn("order", _order(seed)).withColumn("run", F.substring("order", 1, 3))
-    leaf = [*LEVELS, "run"]
-    runs = rows.groupBy(*leaf).agg(F.sum("tokens").alias("sum"))
-    upto = Window.partitionBy(*LEVELS).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
-    rows = rows.join(runs, leaf).filter("before < rest")
-    whole = rows.filter("before + sum < rest").withColumn("taken", F.col("tokens"))
-    inner = Window.partitionBy(*leaf).orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.filter("before + sum >= rest").withColumn("upto", F.col("before") + F.sum("tokens").over(inner))
-    last = last.filter("upto - tokens < rest").withColumn("taken", F.least(F.col("tokens"), F.col("rest") - F.col("upto") + F.col("tokens")))
-    cols = ["id", *LEVELS, "epochs", "order", "taken"]
+    the tokens taken."""
+    ends = _ends(slim, plan, seed)
+    rows = slim.join(plan.select(*LEVELS, "epochs"), list(LEVELS)).withColumn("order", _order(seed)).join(ends, list(LEVELS))
+    whole = rows.filter("order < end").withColumn("taken", F.col("tokens"))
+    last = _numbered(rows.filter("order = end"), list(LEVELS)).filter("nth <= picked")
+    last = last.withColumn("taken", F.least(F.col("tokens"), F.col("rest") - F.col("before") - (F.col("nth") - 1) * F.col("tokens")))
+    cols = ["id", *LEVELS, "epochs", "taken"]
     return whole.select(*cols).unionByName(last.select(*cols))
 
 
 def _planned(df: DataFrame, domain: Column, share: float, weights: dict, max_epochs: int, id_col: str, text_col: str):
     # the regular expression counts the words; texts are read once, for ids, counts and digests
     tokens = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    slim = stash(df.select(F.col(id_col).alias("id"), *_leveled(df, domain, text_col, id_col), tokens.alias("tokens")), "mix")
+    slim = df.select(F.col(id_col).alias("id"), *_leveled(df, domain, text_col, id_col), tokens.alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    slim = stash(slim, "mix")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     return slim, stash(leaf_budgets(leaves, share, weights, max_epochs), "mix-plan")
 
@@ -138,16 +180,23 @@ def mix_rows(df: DataFrame, domain: Column, share: float, weights: dict, seed: i
 
     Per leaf the prefix ends at one place of the order; a row is kept if its own
     place is not behind. So the texts meet only a row per leaf and aren't sorted.
+    Where the prefix ends among rows of equal id and text, as many of them are kept
+    as it takes; which ones is open, since nothing the mix reads tells them apart.
     """
     slim, plan = _planned(df, domain, share, weights, 1, id_col, text_col)
-    ends = _selection(slim, plan, seed).groupBy(*LEVELS).agg(F.max("order").alias("__end"))
-    cuts = plan.join(ends, list(LEVELS), "left").filter("epochs > 0 OR __end IS NOT NULL")
+    ends = _ends(slim, plan, seed).select(*LEVELS, "end", "copies", "picked")
+    cuts = plan.join(ends, list(LEVELS), "left").filter("epochs > 0 OR end IS NOT NULL")
     # written, so that its size is known when the join is planned and the texts aren't dealt out by leaf
-    cuts = stash(cuts.select(*LEVELS, "epochs", F.col("__end").alias("end")).coalesce(1), "mix-cuts")
+    cuts = stash(cuts.select(*LEVELS, "epochs", "end", "copies", "picked").coalesce(1), "mix-cuts")
     # the row travels as one struct, so no column name of its own can clash
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_leveled(df, domain, text_col, id_col))
-    met = keyed.join(cuts, list(LEVELS))
-    return met.filter((F.col("epochs") > 0) | (_order(seed) <= F.col("end"))).select("row.*")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("content"), *_leveled(df, domain, text_col, id_col))
+    met = keyed.join(cuts, list(LEVELS)).withColumn("order", _order(seed))
+    split = "epochs = 0 AND order = end AND picked < copies"
+    kept = met.filter(f"(epochs > 0 OR order <= end) AND NOT coalesce({split}, false)").select("content.*")
+    if cuts.filter("epochs = 0 AND picked < copies").isEmpty():
+        return kept
+    ties = stash(met.filter(split).select("content", *LEVELS, "picked", F.monotonically_increasing_id().alias("row")), "mix-ties")
+    return kept.unionAll(_numbered(ties, list(LEVELS)).filter("nth <= picked").select("content.*"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,17 @@ def test_rows_keep_their_columns(spark):
         assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((x[0] for x in brute(rows, share, M.WEIGHTS, 1, 5)), key=str)
 
 
+def test_repeated_rows(spark):
+    one = "w " * 10
+    for rows in ([(1, one, "en", "src1")] * 50, [(1, one, "en", "src1")] * 40 + [(i, one, "en", "src1") for i in range(2, 12)], [(1, "", "en", "src1")] * 20 + [(2, one, "en", "src1")] * 5):
+        for share in (0.03, 0.5):
+            df = frame(spark, rows)
+            want = brute(rows, share, {}, 1, 5)
+            assert sorted(map(tuple, M.mix(df, M.source_domain("source"), share, {}, 1, 5).collect()), key=str) == want
+            got = M.mix_rows(df, M.source_domain("source"), share, {}, 5)
+            assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(x[0] for x in want)
+
+
 def test_empty_table(spark):
     df = frame(spark, [])
     assert M.mix(df, M.source_domain("source"), 0.5, {}).collect() == [] and M.mix_rows(df, M.source_domain("source"), 0.5, {}).collect() == []

@@ -18,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm.common import LOWER, U64, row_slices, span_hashes, text_bytes, words
+from terralens.llm.common import LOWER, U64, mix64, row_slices, span_hashes, text_bytes, words
 from terralens.llm.hashindex import fold
 from terralens.llm.substring import run_hashes
 
-#: Bound of the training sample (documents of either label, bytes of text) and of the model.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MAX_FEATURES = 2000, 6000, 24 << 20, 1 << 18
-#: Sequences that the field is trained on, and the tokens of one. Training takes each
-#: by itself; tagging carries the passes over the cuts.
-MAX_SEQUENCES = 20_000
+#: Bound of the training sample: labelled documents of either label, bytes of text. It
+#: bounds the model too, as a feature stands in three documents of the sample at least.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 6000, 24 << 20
+#: Tokens of a sequence. Training takes each by itself, and BLOCK of them at once;
+#: tagging carries the passes over the cuts.
 LENGTH = 64
+BLOCK = 8192
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -279,8 +280,6 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30) -> Field:
     # stand out without the words that are marked already.
     marks = np.append(marked(df, 0.995), False)
     marks[:-1] |= marked(document_counts(marks), 0.9)
-    g = np.abs(_likelihood_ratio(df[1], df[0], n1, n0))[often] + 1e9 * marks[often]
-    often = np.sort(often[np.argsort(-g, kind="stable")[:MAX_FEATURES]])
     field.keys = known[often]
     marks = np.append(marks[often], False)
     field.weights = np.where(marks[:-1], 2.0, 0.0)
@@ -300,12 +299,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30) -> Field:
         grid[step, seq] = t.kind
         tag = np.zeros((LENGTH, count), bool)
         tag[step, seq] = bad
-        # every sequence that holds a mark, in clean documents too, and as many others
+        # every sequence that holds a mark, in clean documents too, and about as many
+        # others, drawn by a hash of their words
         some = np.zeros(count, bool)
         some[seq[hit]] = True
-        other = np.flatnonzero(~some)
-        take = np.sort(np.concatenate((np.flatnonzero(some), other[:: max(1, len(other) // max(100, int(some.sum())))])))
-        take = take[: max(1, MAX_SEQUENCES // len(slices))]
+        share = max(100, int(some.sum())) / max(1, count - int(some.sum()))
+        drawn = mix64(np.add.reduceat(t.hash[t.kind], np.flatnonzero(step == 0))) >> U64(11)
+        take = np.flatnonzero(some | (drawn < min(1.0, share) * 2.0**53))
         parts.append((num, grid[:, take], tag[:, take]))
     if any(p[2].any() for p in parts):
         _train(field, parts, rounds, marks[:-1])
@@ -341,16 +341,20 @@ def _train(field: Field, parts, rounds: int, marks: np.ndarray, rate: float = 0.
     for i in range(1, rounds + 1):
         w, bias, start, trans = theta[:n], theta[n], theta[n + 1], theta[n + 2 :].reshape(2, 2)
         kind = bias + np.append(w, 0.0)[num].sum(axis=1)
-        score = np.where(real, kind[np.where(real, back, 0)], 0.0)
-        fwd, bwd, p = marginals(score, real, trans, start)
-        got = np.bincount(back[real], p[real], minlength=len(num))
+        got, got_pairs, got_first = np.zeros(len(num)), np.zeros(4), 0.0
+        for lo in range(0, grid.shape[1], BLOCK):
+            here, at, two = real[:, lo : lo + BLOCK], back[:, lo : lo + BLOCK], both[:, lo : lo + BLOCK]
+            score = np.where(here, kind[np.where(here, at, 0)], 0.0)
+            fwd, bwd, p = marginals(score, here, trans, start)
+            got += np.bincount(at[here], p[here], minlength=len(num))
+            got_pairs += _pair_marginals(fwd, bwd, score, trans)[:, two].sum(axis=1)
+            got_first += p[0][here[0]].sum()
         diff = want - got
         grad = np.zeros_like(theta)
         grad[:n] = np.bincount(num.reshape(-1), np.repeat(diff, num.shape[1]), minlength=n + 1)[:n]
         grad[n] = diff.sum()
-        grad[n + 1] = (tag[0] - p[0])[real[0]].sum()
-        pairs = _pair_marginals(fwd, bwd, score, trans)
-        grad[n + 2 :] = want_pairs - pairs[:, both].sum(axis=1)
+        grad[n + 1] = tag[0][real[0]].sum() - got_first
+        grad[n + 2 :] = want_pairs - got_pairs
         grad = grad / total - ridge * np.append(theta[:n], np.zeros(6)) / max(1, n) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-10) * (1 - (i - 1) / rounds)
@@ -403,8 +407,8 @@ def tag(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty: no span, and the score of a text without
     evidence. Repeated rows give repeated results, an empty table an empty one;
-    extra columns are not read. The model is broadcast: MAX_FEATURES hashes and
-    weights at most.
+    extra columns are not read. The model, hashes and weights of the features of a
+    bounded sample, is broadcast. A long text is one chain like any other.
     """
     model = df.sparkSession.sparkContext.broadcast(field)
 

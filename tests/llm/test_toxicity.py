@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 from itertools import product
 
@@ -75,13 +77,91 @@ def test_degenerate_labels(spark):
     assert X.tag(frame.filter("false"), X.trained(frame, none)).collect() == []
 
 
-def test_query(spark):
+M64 = (1 << 64) - 1
+
+
+def plain_hash(raw: bytes) -> int:
+    """The polynomial hash of a byte string, in Python's whole numbers."""
+    base = 0x9E3779B97F4A7C15
+    x = (sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(raw)) + 0x632BE59BD9B4E019) & M64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * factor) & M64
+    return x ^ (x >> 31)
+
+
+def plain_score(field, text, known={}):
+    """Score and P(toxic) of the tokens of one text: the chain over the whole document,
+    step by step, in probabilities."""
+    weights = known.setdefault(id(field), dict(zip(field.keys.tolist(), field.weights.tolist())))
+    words = [w for w in re.split(rb"[^0-9A-Za-z\x80-\xff]+", (text or "").encode()) if w]
+    (t00, t01), (t10, t11) = np.exp(field.trans).tolist()
+    odds = []
+    for w in words:
+        w = w.lower()
+        names = [plain_hash(w)] + [plain_hash(w[:k]) ^ k for k in (3, 4, 5, 6, 7, 8) if len(w) > k] + ([plain_hash(w[-4:]) ^ 99] if len(w) > 4 else [])
+        odds.append(math.exp(field.bias + sum(weights.get(f, 0.0) for f in names)))
+    p = []
+    if words:
+        a = [(1.0, odds[0] * math.exp(field.start))]
+        for o in odds[1:]:
+            x, y = a[-1]
+            x, y = x * t00 + y * t10, (x * t01 + y * t11) * o
+            a.append((x / (x + y), y / (x + y)))
+        b = [(1.0, 1.0)]
+        for o in odds[:0:-1]:
+            x, y = b[-1]
+            x, y = t00 * x + t01 * o * y, t10 * x + t11 * o * y
+            b.append((x / (x + y), y / (x + y)))
+        p = [y * v / (x * u + y * v) for (x, y), (u, v) in zip(a, b[::-1])]
+    z = field.line[0] + field.line[1] * max(p, default=0.0) + field.line[2] * math.log1p(sum(p))
+    return 1 / (1 + math.exp(-z)), p
+
+
+def test_query_matches_plain_python(spark):
+    """Every score and span of the query, from the model's weights alone."""
     d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    field = X.trained(docs, labels)
+    got = {r.doc_id: r for r in X.op3_toxicity(spark, d).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    spans = 0
+    for r in rows:
+        score, p = plain_score(field, r.text)
+        g = got[r.doc_id]
+        assert abs(g.score - score) < 1e-6 and g.predicted == int(g.score >= 0.5) and g.held_out == held(r.doc_id)
+        runs = sum(v >= 0.5 and (i == 0 or p[i - 1] < 0.5) for i, v in enumerate(p))
+        assert len(g.spans) == runs
+        spans += runs
+    assert spans > 20
+
+
+def test_held_out_labels(spark):
+    """Recall and precision of toxic documents that were not learnt from, and the share
+    of clean ones flagged; always saying clean has recall 0."""
+    d = "/root/testdata/sf0.1"
     rows = X.op3_toxicity(spark, d).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
-    test = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(p == y for p, y in test) / len(test) > 0.9
+    test = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    hit, said, true = sum(p and y for p, y in test), sum(p for p, _ in test), sum(y for _, y in test)
+    assert true > 50 and hit / true >= 0.9 and hit / said >= 0.9 and (said - hit) / (len(test) - true) < 0.01
+
+
+def test_training_uses_every_marked_sequence(monkeypatch):
+    texts, labels = ([x[i] for x in corpus(600, 5)] for i in (1, 2))
+    seen = []
+    monkeypatch.setattr(X, "_train", lambda field, parts, rounds, marks: seen.append(sum(int(p[2].sum()) for p in parts)))
+    X.fit(texts, labels)
+    bad = sum(w.lower().strip("!,") in ("vilest", "grubog", "grubax", "grubin") for t, y in zip(*X._thinned(texts, labels)) if y for w in t.split())
+    assert seen == [bad]
+
+
+def test_blocks_do_not_change_the_model(monkeypatch):
+    texts, labels = ([x[i] for x in corpus(400, 6)] for i in (1, 2))
+    want = X.fit(texts, labels)
+    monkeypatch.setattr(X, "BLOCK", 7)
+    got = X.fit(texts, labels)
+    assert np.allclose(got.weights, want.weights, atol=1e-9) and np.allclose(got.line, want.line, atol=1e-6)
 
 
 def test_long_rows_do_not_end_the_sample(monkeypatch):

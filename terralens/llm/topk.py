@@ -7,12 +7,16 @@ the bucket and all later ones fall out; a high one is served by coordinate pruni
 (a bound on the cosine from the query's largest coordinate), a low one by length
 pruning (the bucket's vectors that are long enough). What is left is verified by
 its product. Buckets and query blocks are files in the shared folder; a task maps
-one shard of buckets and one block of queries into memory.
+one shard of buckets and one block of queries into memory. Shards are visited in
+waves of twice the number, longest vectors first: a wave starts from the k-th best
+products of those before, and pairs of a block and a shard too short for all of its
+queries are not formed.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ BUCKET, QUERIES = 1024, 256
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+_BUCKETS = pa.schema([("shard", pa.string()), ("at", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), ("top", pa.float64())])
+_FOUND = "q_shard string, q_at int, query_id long, q_norm double, vec_id long, score long"
 _CLEAN = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("norm", pa.float64()), ("vec", pa.binary())])
 
 
@@ -50,7 +56,8 @@ def _clean(batches):
 
 
 def _writer(root: str, size: int):
-    """Writes the sorted rows of a partition as files of arrays with a directory of buckets."""
+    """Writes the sorted rows of a partition as files of arrays with a directory of
+    buckets, and returns a row per bucket."""
     def run(batches):
         from pyspark import TaskContext
 
@@ -75,7 +82,8 @@ def _writer(root: str, size: int):
             close()
         if buckets:
             put_file(f"{root}/{shard}.json", json.dumps(buckets).encode())
-            yield pa.RecordBatch.from_pydict({"shard": [shard]})
+            cols = [[shard] * len(buckets), range(len(buckets)), *([b[i] for b in buckets] for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _BUCKETS.types, strict=True)], schema=_BUCKETS)
 
     return run
 
@@ -93,6 +101,13 @@ def _load(root, entry):
     return ids, norms, vecs
 
 
+def floor_of(score: int) -> float:
+    """The score as a threshold: beyond 2**53 a double rounds, so it stays below the
+    integer, since equal scores must still enter."""
+    low = float(score)
+    return low if abs(low) < 2.0**53 else low - abs(low) * 1e-15
+
+
 class Best:
     """The k best (score, id) of each query, ties to the smaller id."""
 
@@ -103,9 +118,7 @@ class Best:
         rows = sorted([*self.rows[q], *zip((-s for s in scores), ids, strict=True)])[: self.k]
         self.rows[q] = rows
         if len(rows) == self.k:
-            low = float(-rows[-1][0])
-            # beyond 2**53 a double rounds: stay below the integer, equal scores must still enter
-            self.floor[q] = max(self.floor[q], low if abs(low) < 2.0**53 else low - abs(low) * 1e-15)
+            self.floor[q] = max(self.floor[q], floor_of(-rows[-1][0]))
 
 
 def products(queries: np.ndarray, vecs: np.ndarray, q_norm: float, v_norm: float) -> np.ndarray:
@@ -178,56 +191,58 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
     def written(frame, name, size):
         root = scratch(spark, name)
         order = ["dim", F.col("norm").desc(), "vec_id"]
-        # a row per shard, and as many shards as partitions
-        found = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_writer(root, size), "shard string").collect()
-        return root, sorted(r[0] for r in found)
-
-    (root, shards), (q_root, q_shards) = written(rows, "buckets", BUCKET), written(queries, "queries", QUERIES)
-
-    def seeds(block_dim):
-        """The longest bucket of that dimension gives every query a first threshold."""
-        for shard in shards:
-            for entry in _directory(root, shard):
-                if entry[1] == block_dim:
-                    return entry
-        return None
+        out = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_writer(root, size), "shard string, at int, dim int, n int, top double")
+        return root, stash(out, name + "-list")
+
+    (root, buckets), (q_root, blocks) = written(rows, "buckets", BUCKET), written(queries, "queries", QUERIES)
+    blocks = blocks.select(F.col("shard").alias("q_shard"), F.col("at").alias("q_at"), "dim", "n")
+    # a row per shard and dimension, and as many shards as partitions; shards of one dimension are numbered by falling length
+    waves: dict[int, list] = {}
+    last, place = None, 0
+    for r in sorted(buckets.groupBy("dim", "shard").agg(F.max("top").alias("top")).collect(), key=lambda r: (r["dim"], r["shard"])):
+        place = place + 1 if r["dim"] == last else 1
+        last = r["dim"]
+        waves.setdefault(int(math.log2(place)), []).append((r["dim"], r["shard"], r["top"]))
 
     def run(batches):
-        first = {}
         for b in batches:
-            for q_shard, q_at, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for q_shard, q_at, shard, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 entry = _directory(q_root, q_shard)[q_at]
                 q_ids, q_norms, q_vecs = _load(q_root, entry)
-                key, dim = (q_shard, q_at), entry[1]
-                if key not in first:
-                    first.clear()
-                    seed = seeds(dim)
-                    trial = Best(len(q_ids), k, np.full(len(q_ids), -np.inf))
-                    if seed:
-                        visit(trial, q_ids, q_norms, q_vecs, *_load(root, seed))
-                    first[key] = trial.floor
-                best = Best(len(q_ids), k, first[key].copy())
+                floors = {x["query_id"]: floor_of(x["low"]) for x in known or []}
+                best = Best(len(q_ids), k, np.array([floors.get(i, -np.inf) for i in q_ids.tolist()]))
                 for bucket in _directory(root, shard):
-                    if bucket[1] == dim and not visit(best, q_ids, q_norms, q_vecs, *_load(root, bucket)):
+                    if bucket[1] == entry[1] and not visit(best, q_ids, q_norms, q_vecs, *_load(root, bucket)):
                         break
-                out = [(int(q_ids[q]), i, s) for q, found in enumerate(best.rows) for s, i in ((-s, i) for s, i in found)]
+                out = [(q_shard, q_at, int(q_ids[q]), float(q_norms[q]), i, -s) for q, found in enumerate(best.rows) for s, i in found]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    # A row per pair of query block and shard, without any vector in it.
-    blocks = spark.createDataFrame([(s,) for s in q_shards], "q_shard string")
-
-    def listed(batches):
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                n = len(_directory(q_root, s))
-                yield pa.RecordBatch.from_pydict({"q_shard": [s] * n, "q_at": pa.array(range(n), pa.int32())})
+                    types = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["q_shard", "q_at", "query_id", "q_norm", "vec_id", "score"])
 
-    pairs = blocks.mapInArrow(listed, "q_shard string, q_at int").withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<string>")))
-    found = pairs.repartition(parts, "q_shard", "q_at", "shard").mapInArrow(run, "query_id long, vec_id long, score long")
-    # k rows per query and shard come here
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = None
+    for _, shards in sorted(waves.items()):
+        pairs = blocks
+        if best is not None:
+            # the k-th best of each query, and the least length that any query of a block can use
+            low = best.filter(F.col("rank") == k).groupBy("q_shard", "q_at").agg(
+                F.collect_list(F.struct("query_id", F.col("score").alias("low"))).alias("known"),
+                F.count(F.lit(1)).alias("c"), F.min("score").alias("least"), F.min(F.try_divide(F.col("score").cast("double"), F.col("q_norm"))).alias("need"),
+            )
+            pairs = blocks.join(low, ["q_shard", "q_at"], "left")
+            pairs = pairs.withColumn("need", F.when((F.col("c") == F.col("n")) & (F.col("least") > 0), F.col("need") * (1 - 1e-9)).otherwise(0.0))
+        else:
+            pairs = pairs.withColumns({"known": F.lit(None).cast("array<struct<query_id:long,low:long>>"), "need": F.lit(0.0)})
+        listed = spark.createDataFrame(shards, "dim int, shard string, top double")  # of this wave
+        pairs = pairs.join(F.broadcast(listed), "dim").filter("need <= top").select("q_shard", "q_at", "shard", "known")
+        found = pairs.repartition(parts, "q_shard", "q_at", "shard").mapInArrow(run, _FOUND)
+        # k rows per query and shard come here
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = stash(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark, sf_dir: str) -> DataFrame:

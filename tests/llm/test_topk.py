@@ -66,3 +66,21 @@ def test_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as from '{d}/embeddings.parquet'")
     assert sorted(con.execute(T.SQL).fetchall()) == sorted(tuple(r) for r in T.op7_topk(spark, d).collect())
+
+
+def test_waves_match_brute_force(spark, monkeypatch):
+    """Several waves, of shards whose vectors are long and short."""
+    r = random.Random(2)
+    rows = [(i, [(100 if i < 400 else 0.01) * x for x in (r.gauss(0, 1) + (1 if j == 0 else 0) for j in range(8))]) for i in range(4000)]
+    monkeypatch.setattr(T, "BUCKET", 64)
+    monkeypatch.setattr(T, "QUERIES", 16)
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA).repartition(3)
+    written = []
+    keep = T.stash
+    monkeypatch.setattr(T, "stash", lambda d, name: written.append(name) or keep(d, name))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = sorted(tuple(x) for x in T.top_k(df, lambda i: i % 50 == 0, 5).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(rows, 5, 50) and written.count("best") >= 4

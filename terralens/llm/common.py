@@ -15,17 +15,21 @@ import pyarrow.compute as pc
 
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``),
     with the scheme of its file system.
 
-    Only where the session names none (plain local sessions, tests) a fresh
-    local folder is taken; a cluster has to set it.
+    Where the session names none, a local session (as in tests) gets a fresh local
+    folder. On a cluster there is none to take: driver and executors would each use
+    a disk of their own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="terralens-"))
         root = _OWN[0]
@@ -36,7 +40,22 @@ def shared_dir(spark) -> str:
 
 def scratch(spark, name: str) -> str:
     """A new, unique path below the shared folder."""
-    return f"{shared_dir(spark)}/terralens/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/terralens/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def scratch_made() -> int:
+    """How many scratch paths there are so far, for ``drop_scratch``."""
+    return len(_MADE)
+
+
+def drop_scratch(spark, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch paths made since then but those to keep. A result that still
+    reads them has to be written first."""
+    for path in _MADE[since:]:
+        if path not in keep:
+            drop_path(spark, path)
+    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
 
 
 def stash(df, name: str):

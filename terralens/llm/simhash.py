@@ -480,5 +480,6 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_c
             there[order] = hx.find(dead, bits, filled, key[order], {})["found"]
             kept = b.filter(pa.array(~there))
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], names=[n for i, n in enumerate(kept.schema.names) if i != at])
+        hx.Column.close(dead)
 
     return numbered.mapInArrow(run, df.schema)

@@ -247,6 +247,8 @@ def _parse(batches, index, min_words, emit):
             mine = slice(edges[i], edges[i + 1])
             done.append(emit(data[o : offs[i + 1]], p.starts[a:b] - o, p.ends[a:b] - o, covered[a:b], (spans[0][mine] - a, *(x[mine] for x in spans[1:]))))
         yield batch.slice(lo, hi - lo), done
+    for root, *_ in index:
+        hx.Column.close(root)
 
 
 def _spans(covered: np.ndarray):

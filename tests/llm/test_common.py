@@ -78,3 +78,29 @@ def test_bitmap():
 def test_buckets_have_no_ceiling():
     assert H.bucket_bits(0) == 5 and H.bucket_bits(100 << 40) == 22 and H.bucket_bits(100 << 40, 16 << 20) == 23
     assert H.flush_size(5) == H.FLUSH and H.flush_size(22) == H.FLUSH_MOST
+
+
+def test_scratch_is_dropped(spark):
+    since = C.scratch_made()
+    a, b = (C.stash(spark.range(3), "x") for _ in range(2))
+    kept = C._MADE[since]
+    C.drop_scratch(spark, since, (kept,))
+    assert a.count() == 3 and C.scratch_made() == since + 1
+    C.drop_scratch(spark, since)
+    assert C.scratch_made() == since
+    import os
+
+    assert not os.path.exists(kept.removeprefix("file:"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        C.shared_dir(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://h:7077")))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terralens.llm import bpe, mixing, simhash, substring, toxicity
-from terralens.llm.common import scratch
+from terralens.llm.common import drop_scratch, scratch, scratch_made
 
 #: Words of a passage that may not repeat.
 MIN_WORDS = 35
@@ -49,12 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again."""
+    """All stages over documents; what a stage returns is written and read again. What
+    a stage needed on its way, and what its predecessor wrote, goes once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = scratch_made()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = scratch(spark, f"stage-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            drop_scratch(spark, since, (path,))
     return docs

@@ -24,6 +24,12 @@ def log_minmax(df: DataFrame, cols: dict[str, str], digits: int = 4) -> DataFram
     return df.withColumns(out)
 
 
+def minmax(df: DataFrame, value: str, name: str, digits: int = 4) -> DataFrame:
+    """(v - lo) / (hi - lo + 1e-9) over the table."""
+    lo, hi = (F.lit(x) for x in df.agg(F.min(value), F.max(value)).first())
+    return df.withColumn(name, half_up((F.col(value) - lo) / (hi - lo + 1e-9), digits))
+
+
 def fire_index(df: DataFrame, frp: str, name: str = "idx_fuego", digits: int = 4) -> DataFrame:
     """log1p(frp) over log1p of the largest, at most 1; 0 without fire."""
     top = df.agg(F.log1p(F.max(frp)).alias("top")).first()["top"] or 1.0

@@ -28,19 +28,12 @@ def per_class(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def summary(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """One row: accuracy, share of the commonest true label (the smallest of equally
-    common ones), that label, macro F1, n."""
-    # the pairs of labels are few: they are counted once and all else follows from them
-    pairs = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()
-    spark, n = df.sparkSession, sum(r["c"] for r in pairs)
-    true, said, hit = {}, {}, {}
-    for r in pairs:
-        true[r["t"]] = true.get(r["t"], 0) + r["c"]
-        said[r["p"]] = said.get(r["p"], 0) + r["c"]
-        if r["t"] == r["p"]:
-            hit[r["t"]] = r["c"]
-    if not n:
-        return spark.createDataFrame([], "accuracy double, baseline double, majority int, macro_f1 double, n long")
-    f1 = [2 * hit.get(k, 0) / (true.get(k, 0) + said.get(k, 0)) for k in {*true, *said}]
-    majority = min(true, key=lambda k: (-true[k], k))
-    row = (sum(hit.values()) / n, true[majority] / n, int(majority), sum(f1) / len(f1), n)
-    return spark.createDataFrame([row], "accuracy double, baseline double, majority int, macro_f1 double, n long")
+    common ones), that label, macro F1, n; none for an empty table."""
+    labels = per_class(df, truth, pred)
+    most = labels.agg(F.max("support")).scalar()
+    hits = F.round(F.col("recall") * F.col("support"))
+    row = labels.agg(
+        (F.sum(hits) / F.sum("support")).alias("accuracy"), (F.max("support") / F.sum("support")).alias("baseline"),
+        F.min(F.when(F.col("support") == most, F.col("label"))).cast("int").alias("majority"), F.avg("f1").alias("macro_f1"), F.sum("support").alias("n"),
+    )
+    return row.filter("n > 0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralens.operators.stats import percentile
+
 
 def frequency(df: DataFrame, col: str, name: str = "n") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias(name))
@@ -63,8 +65,8 @@ def card(df: DataFrame, condition: Column, fields: dict[str, Column]) -> DataFra
 
 def clipped(df: DataFrame, value: str, name: str, p: float = 0.97) -> DataFrame:
     """Value cut at a percentile of the positive ones, for display."""
-    cut = df.filter(F.col(value) > 0).agg(F.percentile(value, p).alias("p")).first()["p"]
-    return df.withColumn(name, F.least(F.col(value), F.lit(cut)))
+    cut = percentile(df.filter(F.col(value) > 0), value, p).agg(F.max("p")).scalar()
+    return df.withColumn(name, F.least(F.col(value), cut))
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -75,8 +75,22 @@ def test_conformal(spark):
     got = {r.id: r for r in conformal.sets(df, "p", F.lit(0.7), LEVELS).collect()}
     assert got[0].conjunto_conformal == "Bajo" and got[0].certeza_calibrada == "Alta"
     assert got[1].conjunto_conformal == "Bajo / Medio" and got[2].tamano_conjunto == 1 and got[2].conjunto_conformal == "Bajo"
-    c = conformal.coverage(df.union(df), "p", "y", (F.col("id") + F.col("rep")) % 2 == 0, 4).first()
-    assert c.repeats == 4 and 0 <= c.coverage <= 1
+    many = spark.createDataFrame([(i, p[i % 4], i % 3) for i in range(201)], "id long, p array<double>, y int")
+    c = conformal.coverage(many, "p", "y", (F.col("id") * 7919 + F.col("rep") * 31) % 211 * 1000 + F.col("id"), 5, 0.2).first()
+    covers, sizes = [], []
+    for rep in range(5):
+        cal, judged = [], []
+        for y in range(3):
+            rows = sorted((i for i in range(201) if i % 3 == y), key=lambda i: (i * 7919 + rep * 31) % 211 * 1000 + i)
+            cal, judged = cal + rows[: len(rows) // 2], judged + rows[len(rows) // 2 :]
+        n = len(cal)
+        level = min(1.0, math.ceil((n + 1) * 0.8) / n)
+        q = sorted(1 - p[i % 4][i % 3] for i in cal)[math.ceil(level * (n - 1) - 1e-9)]
+        sets = {i: [k for k, v in enumerate(p[i % 4]) if v >= 1 - q] for i in judged}
+        covers.append(sum(i % 3 in s for i, s in sets.items()) / len(judged))
+        sizes.append(sum(map(len, sets.values())) / len(judged))
+    assert c.repeats == 5 and math.isclose(c.coverage, sum(covers) / 5) and math.isclose(c.set_size, sum(sizes) / 5)
+    assert conformal.qhat(s.filter("false"), "s").collect() == []
 
 
 def test_reports(spark):

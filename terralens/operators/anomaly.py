@@ -7,10 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.operators.index import order_statistics
+from terralens.operators.index import minmax, order_statistics
+from terralens.session import written
 
 #: Rows a tree is grown on; also the bound of what a task holds.
 SAMPLE = 256
+#: Rows that the trees draw from.
+POOL = 65_536
 
 
 def _path(n: float) -> float:
@@ -51,36 +54,31 @@ def depths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
         at[inner] = np.where(x[inner, f[inner]] <= n[:, 1], n[:, 2], n[:, 3]).astype(np.int64)
 
 
-def isolation_forest(df: DataFrame, features: tuple[str, ...], key: str, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+def isolation_forest(df: DataFrame, features: tuple[str, ...], key: str, trees: int = 300, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """With score_anomalia (0 to 1 by the table's range) and es_anomalia.
 
-    A tree's sample is a hash-ordered draw of SAMPLE rows; trees are grown one per
-    group in parallel. The forest, trees x 2 SAMPLE nodes at most, is broadcast.
+    The POOL rows of least hash are the sample, all rows of a smaller table; every tree
+    draws SAMPLE of them. So one law holds at every size, and what is collected and
+    broadcast, the pool and the forest of trees x 2 SAMPLE nodes at most, has a bound.
+    Null features count as 0.
     """
     spark = df.sparkSession
-    x = df.fillna(0, subset=list(features)).select(key, *features)
-    total = x.count()
-    # about 2 * SAMPLE rows are drawn per tree, of which the first SAMPLE count. In a
-    # large table a row is drawn for one tree at most, so it is neither repeated nor
-    # shuffled unless drawn; in a small one every tree draws from all rows.
-    share = 2.0 * SAMPLE / max(1, total)
-    if share * trees <= 1:
-        drawn = x.withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(trees)).cast("int"))
-        share *= trees
-    else:
-        drawn = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("place", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
-    drawn = drawn.filter(F.pmod("place", F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        part = pdf.sort_values("place").head(SAMPLE)[list(features)].to_numpy(float)
-        nodes = grow(part, seed + tree)
-        return pd.DataFrame(nodes, columns=["f", "cut", "l", "r", "v"]).assign(tree=tree, node=range(len(nodes)), n=len(part))[["tree", "node", "f", "cut", "l", "r", "v", "n"]]
-
-    grown = drawn.groupBy("tree").applyInPandas(one, "tree int, node int, f double, cut double, l double, r double, v double, n int").toPandas()
+    x = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_o"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    drawn = x.orderBy("_o", *features).limit(POOL).toPandas().sort_values(["_o", *features])
+    pool = spark.sparkContext.broadcast(drawn[list(features)].to_numpy(float))
+
+    def plant(batches):
+        for pdf in batches:
+            for tree in pdf["id"]:
+                r = np.random.default_rng([seed, int(tree)])
+                rows = r.choice(len(pool.value), min(SAMPLE, len(pool.value)), replace=False)
+                nodes = grow(pool.value[rows], seed + int(tree))
+                yield pd.DataFrame(nodes, columns=["f", "cut", "l", "r", "v"]).assign(tree=tree, node=range(len(nodes)))[["tree", "node", "f", "cut", "l", "r", "v"]]
+
+    tasks = min(trees, spark.sparkContext.defaultParallelism)
+    grown = spark.range(trees, numPartitions=tasks).mapInPandas(plant, "tree long, node int, f double, cut double, l double, r double, v double").toPandas()
     forest = [g.sort_values("node")[["f", "cut", "l", "r", "v"]].to_numpy(float) for _, g in grown.groupby("tree")]
-    unit = float(np.mean([_path(n) for n in grown.groupby("tree")["n"].first()])) if forest else 1.0
+    unit = _path(min(SAMPLE, len(drawn)))
     shared = spark.sparkContext.broadcast(forest)
     schema = df.schema.simpleString()[7:-1] + ",_raw:double"
 
@@ -91,11 +89,10 @@ def isolation_forest(df: DataFrame, features: tuple[str, ...], key: str, trees:
             yield pdf.assign(_raw=np.floor(2 ** (-mean / max(unit, 1e-9)) * 1e6 + 0.5) / 1e6)
 
     scored = df.mapInPandas(judge, schema)
-    scored = scored.persist()  # read for its range, its quantile and the result
-    lo, hi = (F.lit(v) for v in scored.agg(F.min("_raw"), F.max("_raw")).first())
+    scored = written(scored, "anomalies")  # read for its range, its quantile and the result
+    # a score has six decimals, so a million values at most
     cut = F.lit(order_statistics(scored, "_raw", (1 - contamination,))[0])
-    norm = F.floor((F.col("_raw") - lo) / (hi - lo + 1e-9) * 1e4 + 0.5) / 1e4
-    return scored.withColumns({"score_anomalia": norm, "es_anomalia": (F.col("_raw") > cut).cast("int")}).drop("_raw")
+    return minmax(scored, "_raw", "score_anomalia").withColumn("es_anomalia", (F.col("_raw") > cut).cast("int")).drop("_raw")
 
 
 def crossed(df: DataFrame, level: str = "riesgo_nivel") -> DataFrame:
@@ -103,3 +100,8 @@ def crossed(df: DataFrame, level: str = "riesgo_nivel") -> DataFrame:
     high = F.col(level).isin("Alto", "Crítico")
     hit = F.col("es_anomalia") == 1
     return df.agg(F.count_if(hit).alias("anomalias"), F.count_if(hit & high).alias("en_nivel_alto"), F.count_if(hit & ~high).alias("no_priorizadas"))
+
+
+def ranked(df: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The n most anomalous flagged rows, ties by key."""
+    return df.filter("es_anomalia = 1").orderBy(F.col("score_anomalia").desc(), F.col(key)).limit(n)

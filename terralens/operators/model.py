@@ -1,48 +1,24 @@
-"""Multiclass trees on the labelled table, with spark.ml."""
+"""Splits of a labelled table into training and test rows."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralens.functions.conform import argmax, label_of
-from terralens.schema import FEATURES, LEVELS
+from terralens.operators.stats import at_ranks
 
 
 def stratified_split(df: DataFrame, label: str, order: Column, share: float = 0.25, name: str = "is_test") -> DataFrame:
     """Flag the first ``share`` of each class, in the given order, as test rows: the
-    class's count times the share, rounded half up."""
-    w = Window.partitionBy(label)
-    n = F.floor(F.count(F.lit(1)).over(w) * F.lit(share) + 0.5)
-    return df.withColumn(name, (F.row_number().over(w.orderBy(order)) <= n).cast("int"))
-
-
-def hashed_split(df: DataFrame, key: str, share: float = 0.25, seed: int = 42, name: str = "is_test") -> DataFrame:
-    """The same share by a hash of the key: no shuffle, for tables of any size."""
-    return df.withColumn(name, (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)).cast("int"))
-
-
-def train(df: DataFrame, features: tuple[str, ...] = FEATURES, label: str = "y", trees: int = 40, depth: int = 8, seed: int = 42) -> PipelineModel:
-    """Random forest on the features; null counts as 0. ``label`` is the class ordinal."""
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probability"),
-    ]
-    return Pipeline(stages=stages).fit(df.fillna(0, subset=list(features)))
-
-
-def predict(model: PipelineModel, df: DataFrame, features: tuple[str, ...] = FEATURES, names: tuple[str, ...] = LEVELS) -> DataFrame:
-    """With p (array), riesgo_pred (label) and confianza (largest probability)."""
-    out = model.transform(df.fillna(0, subset=list(features)))
-    out = out.withColumn("p", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
-    return out.withColumns({"riesgo_pred": label_of(argmax("p"), names), "confianza": F.array_max("p")})
-
-
-def importances(model: PipelineModel, spark, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """(feature, importance), largest first; all features, none negative."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    class's count times the share, rounded half up. ``order`` is a whole number, unlike
+    for any two rows. Classes are few; their cut is sought by counts, not by sorting."""
+    rows = df.withColumn("_order", order)
+    wanted = F.floor(F.col("n") * F.lit(share) + 0.5)
+    cut = at_ranks(rows, "_order", [label], [wanted - 1]).select(F.col(label).alias("_label"), F.when(wanted > 0, F.col("v0")).alias("_cut"))
+    out = rows.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_label")), "left")
+    return out.withColumn(name, F.coalesce((F.col("_order") <= F.col("_cut")).cast("int"), F.lit(0))).drop("_order", "_label", "_cut")
+
+
+def hashed_order(key: str, seed: int = 42) -> Column:
+    """An order for ``stratified_split`` that any table has."""
+    return F.xxhash64(key, F.lit(seed))

@@ -1,4 +1,8 @@
-"""Column types of the input tables, as DDL."""
+"""Column types of the input tables, as DDL.
+
+Fixed values: column names, levels, indices, weights, features and the box are those of
+the domain's own tables and published method.
+"""
 
 TERRITORY = "cod_mpio string, nom_mpio string, dpto string, latitud string, longitud string"
 MINING_REGISTRY = "codigo_dane string, municipio string, departamento string, mineral string, nombre_persona string"
@@ -14,8 +18,8 @@ LEVELS = ("Bajo", "Medio", "Alto", "Crítico")
 INDICES = ("idx_minero", "idx_deforestacion", "idx_fuego", "idx_hidrico", "idx_sensibilidad")
 WEIGHTS = {"idx_minero": 0.30, "idx_deforestacion": 0.25, "idx_fuego": 0.15, "idx_hidrico": 0.20, "idx_sensibilidad": 0.10}
 FEATURES = (
-    "mineria_titulos", "mineria_minerales", "mineria_volumen", "mineria_regalias", "es_pdet", "deforestacion_ha", "agua_ica_medio",
-    "agua_estaciones", "runap_areas", "runap_hectareas", *INDICES,
+    *INDICES, "mineria_titulos", "mineria_minerales", "deforestacion_ha", "runap_areas", "runap_hectareas", "agua_estaciones",
+    "mineria_volumen", "mineria_regalias", "es_pdet", "focos_7d",
 )
 #: lon_min, lat_min, lon_max, lat_max
 BBOX = (-79.2, -4.4, -66.7, 13.6)

@@ -75,3 +75,33 @@ def test_polygons_match_brute_force(spark):
 def test_ring_of_constant_latitude(spark):
     df = spark.createDataFrame([([{"lon": 0.0, "lat": 1.0}, {"lon": 2.0, "lat": 1.0}],)], "ring array<struct<lon:double,lat:double>>")
     assert df.select(in_ring(F.lit(1.0), F.lit(1.0), F.col("ring"))).first()[0] is False
+
+
+def test_nearest_at_the_poles_and_across_the_date_line(spark):
+    r = random.Random(4)
+    cents = [(i, i, *x) for i, x in enumerate([(89.9, 10.0), (89.8, -170.0), (-90.0, 0.0), (-89.7, 90.0), (0.0, 179.95), (0.2, -179.9), (85.0, 179.9), (81.0, -179.9), (60.0, 180.0), (60.0, -180.0)])]
+    pts = [(i, r.choice([1, -1]) * r.uniform(88.5, 90), r.uniform(-180, 180)) for i in range(150)]
+    pts += [(200 + i, r.uniform(-1, 1), r.choice([1, -1]) * r.uniform(179, 180)) for i in range(150)]
+    pts += [(400 + i, r.uniform(59, 86), r.choice([1, -1]) * r.uniform(175, 180)) for i in range(150)]
+    c = spark.createDataFrame(cents, "cod int, ord int, lat double, lon double")
+    p = spark.createDataFrame(pts, "id int, lat double, lon double")
+    got = {x.id: x.cod for x in S.nearest(p, c, 120.0, "id").collect()}
+    want = {}
+    for i, la, lo in pts:
+        d, _, k = min((km((la, lo), (a, b)), o, k) for k, o, a, b in cents)
+        if d < 120:
+            want[i] = k
+    assert got == want and len(want) > 250
+
+
+def test_polygons_of_very_unlike_size(spark):
+    r = random.Random(5)
+    sizes = [0.001, 0.01, 0.3, 2.0, 15.0, 60.0, 170.0]
+    boxes = [(r.uniform(-60, 60), r.uniform(-30, 30), s) for s in sizes for _ in range(4)]
+    rings = [[(x - s / 2, y - s / 4), (x + s / 2, y - s / 4), (x + s / 2, y + s / 4), (x - s / 2, y + s / 4)] for x, y, s in boxes]
+    pts = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(400)] + [(1000 + i, y, x) for i, (x, y, _) in enumerate(boxes)]
+    polys = spark.createDataFrame([(i, i, [{"lon": x, "lat": y} for x, y in g]) for i, g in enumerate(rings)], "cod int, ord int, ring array<struct<lon:double,lat:double>>")
+    p = spark.createDataFrame(pts, "id int, lat double, lon double")
+    got = {x.id: x.cod for x in S.assign_polygons(p, polys, "id").collect()}
+    assert got == {i: next((k for k, g in enumerate(rings) if inside(lo, la, g)), None) for i, la, lo in pts}
+    assert S.assign_polygons(p, polys.filter("false"), "id").filter("cod IS NOT NULL").count() == 0

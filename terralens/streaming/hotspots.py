@@ -19,24 +19,31 @@ def windowed(events: DataFrame, time: str, key: str, value: str, late: str = "1
     ``late`` behind the newest are left out, and their windows' state is dropped."""
     w = F.window(time, window, slide)
     g = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(w, key)
-    return g.agg(F.count(F.lit(1)).alias("focos"), F.sum(value).alias("frp_total")).select("window.start", "window.end", key, "focos", "frp_total")
+    total = F.sum(F.col(value).cast("decimal(18,4)")).cast("double")
+    return g.agg(F.count(F.lit(1)).alias("focos"), total.alias("frp_total")).select("window.start", "window.end", key, "focos", "frp_total")
 
 
-def refresh(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def refresh(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Work off what has arrived and stop: a daily refresh. The sink overwrites its
     output for a batch, so a repeated batch does no harm."""
-    return events.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def refreshed_table(spark: SparkSession, totals: DataFrame, out: str) -> DataFrame:
-    """Run a streaming aggregate over what has arrived, overwrite its table with each
-    batch's complete state, and return the table."""
-    q = (
-        totals.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/table"))
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    return events.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
+    """The table that ``refreshed_table`` keeps: of every key the row of the last batch."""
+    rows = spark.read.schema(schema + ", batch long").parquet(f"{out}/table")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
+def refreshed_table(spark: SparkSession, totals: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Run a streaming aggregate with a watermark over what has arrived, and return its
+    table. A batch adds the rows that it changed as files of its own, so nothing that is
+    being read is overwritten, and state behind the watermark is dropped."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in totals.schema.fields)
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/table/batch={batch}")
+
+    refresh(totals, sink, f"{out}/checkpoint", "update").awaitTermination()
+    return upserted(spark, out, keys, ddl)

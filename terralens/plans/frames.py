@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terralens.functions.conform import code, decimal_sum, half_up
 from terralens.operators import index, territory
 from terralens.schema import LEVELS
+from terralens.session import materialised, written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -88,14 +89,24 @@ def fire(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("cod").alias("cod_mpio")).agg(F.count(F.lit(1)).cast("int").alias("focos_7d"), decimal_sum("frp").alias("frp_total"), F.max("acq_date").alias("ultima_fecha"))
 
 
+SOURCES = ("customer", "orders", "lineitem", "events")
+
+
+def paths(d: str, names: tuple[str, ...] = SOURCES) -> list[str]:
+    return [f"{d}/{t}.parquet" for t in names]
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """The master table with its indices, score and level.
+    """The master table with its indices, score and level: a row per territory, small
+    beside the sources it sums up, and what most queries start from. So it is written
+    by the first that needs it."""
+    return materialised(spark, "labelled", paths(d), lambda: build_labelled(spark, d))
+
 
-    A row per territory is small beside the sources it sums up, and its bounds and
-    quantiles read it several times: it is kept, in memory or on disk.
-    """
-    m = master(spark, d).join(fire(spark, d).drop("ultima_fecha"), "cod_mpio", "left").fillna(0, subset=["focos_7d", "frp_total"]).persist()
+def build_labelled(spark: SparkSession, d: str) -> DataFrame:
+    m = master(spark, d).join(fire(spark, d).drop("ultima_fecha"), "cod_mpio", "left").fillna(0, subset=["focos_7d", "frp_total"])
     m = m.withColumn("_raw", F.col("mineria_titulos") + F.col("mineria_volumen") / 1000)
+    m = written(m, "territories")  # read for its bounds, its quantiles and the result
     m = index.log_minmax(m, {"_raw": "idx_minero", "deforestacion_ha": "idx_deforestacion", "runap_hectareas": "_sens"})
     m = index.fire_index(m, "frp_total")
     m = m.withColumns({"idx_hidrico": index.water_index("agua_ica_medio"), "idx_sensibilidad": index.raised("_sens", "es_pdet"), "hidrico_sin_dato": F.col("agua_ica_medio").isNull().cast("int")})
@@ -103,5 +114,19 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return index.with_level(m)
 
 
+QUAD = ((-2.0, -0.5), (0.5, -2.0), (2.0, 0.5), (-0.5, 2.0))
+
+
+def centroids(s, d):
+    n = table(s, d, "nation")
+    k = F.col("n_nationkey")
+    return n.select(k.alias("cod"), k.alias("ord"), lat(k).alias("lat"), lon(k).alias("lon"))
+
+
+def polygons(s, d):
+    corner = [F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in QUAD]
+    return centroids(s, d).select("cod", "ord", F.array(*corner).alias("ring"))
+
+
 def level_ordinal(c: str = "riesgo_nivel") -> Column:
     return F.array_position(F.array(*map(F.lit, LEVELS)), F.col(c)).cast("int") - 1

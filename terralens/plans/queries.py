@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.functions import conform as C
-from terralens.operators import anomaly, conformal, index, metrics, model, raster, report, retrieval, spatial, territory
+from terralens.operators import anomaly, boosting, conformal, index, metrics, model, raster, report, retrieval, spatial, territory
 from terralens.plans import frames as T
+from terralens.plans import roundtrips as R
+from terralens.plans.frames import polygons
 from terralens.schema import INDICES, LEVELS
-from terralens.session import scratch_path
+from terralens.session import materialised, scratch_path
 from terralens.sources import readers
 from terralens.streaming import hotspots as live
 
 HIGH = ("Alto", "Crítico")
-QUAD = ((-2.0, -0.5), (0.5, -2.0), (2.0, 0.5), (-0.5, 2.0))
-
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: C.half_up(c, digits) for c in cols})
@@ -39,28 +41,17 @@ def name_normalise_join(s, d):
     return territory.worst(territory.by_name(messy, names, "k"), "cod", "v", "worst")
 
 
-def centroids(s, d):
-    n = T.table(s, d, "nation")
-    k = F.col("n_nationkey")
-    return n.select(k.alias("cod"), k.alias("ord"), T.lat(k).alias("lat"), T.lon(k).alias("lon"))
-
-
-def polygons(s, d):
-    corner = [F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in QUAD]
-    return centroids(s, d).select("cod", "ord", F.array(*corner).alias("ring"))
-
-
 def points(df, key):
     return df.select(key, T.lat(F.col(key)).alias("lat"), T.lon(F.col(key)).alias("lon"))
 
 
 def nearest_centroid(s, d):
-    return rounded(spatial.nearest(points(T.table(s, d, "supplier"), "s_suppkey"), centroids(s, d), 300.0, "s_suppkey"), 4, "km")
+    return rounded(spatial.nearest(points(T.table(s, d, "supplier"), "s_suppkey"), T.centroids(s, d), 300.0, "s_suppkey"), 4, "km")
 
 
 def nearest_radius_sum(s, d):
     p = T.table(s, d, "part")
-    hit = spatial.nearest(points(p, "p_partkey"), centroids(s, d), 60.0, "p_partkey")
+    hit = spatial.nearest(points(p, "p_partkey"), T.centroids(s, d), 60.0, "p_partkey")
     return hit.join(p.select("p_partkey", "p_retailprice"), "p_partkey").groupBy("cod").agg(F.count(F.lit(1)).alias("areas"), C.decimal_sum("p_retailprice").alias("hectareas"))
 
 
@@ -114,8 +105,24 @@ def dominant_factor(s, d):
     return report.frequency(T.labelled(s, d).withColumn("dominante", C.dominant(INDICES)), "dominante")
 
 
+def four(c):
+    return F.format_string("%.4f", F.col(c))
+
+
 def territory_card(s, d):
-    return report.card(T.labelled(s, d), F.col("cod_mpio") == "00042", {"municipio": F.col("municipio"), "nivel": F.col("riesgo_nivel"), "focos": F.col("focos_7d"), "dominante": C.dominant(INDICES)})
+    fields = {"municipio": F.col("municipio"), "nivel": F.col("riesgo_nivel"), "score": four("riesgo_score"), "focos": F.col("focos_7d"), "dominante": C.dominant(INDICES)}
+    return report.card(T.labelled(s, d), F.col("cod_mpio") == "00042", fields | {c: four(c) for c in INDICES})
+
+
+def territory_card_model(s, d):
+    """What the model says of one territory: prediction, confidence, certainty and the
+    columns that weigh most."""
+    one = F.col("cod_mpio") == "00042"
+    x = model_sets(s, d).filter(one)
+    fields = {c: F.col(c) for c in ("riesgo_pred", "confianza", "conjunto_conformal", "certeza_calibrada")}
+    why = boosting.attributions(fitted(s, d), split_table(s, d).filter(one), "cod_mpio")
+    why = why.select(F.concat(F.lit("factor_"), "place").alias("field"), F.format_string("%s %.5f", "feature", "phi").alias("value"))
+    return report.card(x, one, fields).unionByName(why)
 
 
 def view_filter(s, d):
@@ -148,6 +155,12 @@ def class_metrics(s, d):
     return rounded(metrics.per_class(predictions(s, d), "y", "yhat"), 6, "precision", "recall", "f1")
 
 
+def coordinates_present(s, d):
+    k = F.col("c_custkey")
+    place = T.table(s, d, "customer").select(k, F.when(k % 5 != 0, T.lat(k)).alias("lat"), F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(T.lon(k)).alias("lon"))
+    return place.filter(C.present("lat", "lon")).select("c_custkey")
+
+
 def majority_baseline(s, d):
     return rounded(metrics.summary(predictions(s, d), "y", "yhat"), 6, "accuracy", "baseline").select("accuracy", "baseline", "majority", "n")
 
@@ -171,8 +184,8 @@ def conformal_sets(s, d):
 
 
 def conformal_coverage(s, d):
-    half = F.expr("(doc_id * (2 * rep + 1) div 3 + rep) % 2 = 0")
-    return rounded(conformal.coverage(probabilities(s, d), "p", "y", half, 20), 6, "coverage", "set_size")
+    order = F.expr("(doc_id * 7919 + rep * 104729) * (2 * rep + 1) % 1000003 * 1099511627776 + doc_id")
+    return rounded(conformal.coverage(probabilities(s, d), "p", "y", order, 100), 6, "coverage", "set_size")
 
 
 def linear_shapley(s, d):
@@ -186,29 +199,64 @@ def shapley_importance(s, d):
 
 
 def stratified_split(s, d):
-    x = T.table(s, d, "labels").select("doc_id", "quality").withColumn("o", F.struct((F.col("doc_id") * 7919) % 10007, "doc_id"))
-    return model.stratified_split(x, "quality", F.col("o")).drop("o")
+    x = T.table(s, d, "labels").select("doc_id", "quality")
+    return model.stratified_split(x, "quality", F.expr("doc_id * 7919 % 10007 * 1099511627776 + doc_id"))
 
 
-def trained(s, d):
+def split_table(s, d):
     x = T.labelled(s, d).withColumn("y", T.level_ordinal())
-    x = model.hashed_split(x, "cod_mpio")
-    return model.train(x.filter("is_test = 0")), x
+    return model.stratified_split(x, "y", model.hashed_order("cod_mpio"))
+
+
+def fitted(s, d):
+    """The model of the training rows, fitted by the first query that needs it."""
+    def build():
+        m = boosting.train(split_table(s, d).filter("is_test = 0"), "cod_mpio")
+        return s.createDataFrame([(bytearray(pickle.dumps(m)),)], "model binary")
+
+    return pickle.loads(materialised(s, "model", T.paths(d), build).first()["model"])  # noqa: S301
+
+
+def predicted(s, d):
+    """Probabilities of every territory, written by the first query that needs them."""
+    return materialised(s, "predictions", T.paths(d), lambda: boosting.predict(fitted(s, d), split_table(s, d)))
 
 
 def model_train_predict(s, d):
-    m, x = trained(s, d)
-    return rounded(model.predict(m, x), 6, "confianza").select("cod_mpio", "riesgo_nivel", "riesgo_pred", "confianza", "is_test")
+    p = predicted(s, d)
+    return rounded(p, 6, "confianza").select("cod_mpio", "riesgo_nivel", "riesgo_pred", "confianza", "is_test")
 
 
 def model_evaluation(s, d):
-    m, x = trained(s, d)
-    p = model.predict(m, x.filter("is_test = 1")).withColumn("yhat", C.ordinal_of("riesgo_pred", LEVELS))
-    return rounded(metrics.summary(p, "y", "yhat"), 6, "accuracy", "baseline", "macro_f1")
+    """Test rows: a row per level with its precision, recall, F1 and confusion counts,
+    beside accuracy, baseline and macro F1 of all."""
+    p = predicted(s, d).filter("is_test = 1").select("y", C.ordinal_of("riesgo_pred", LEVELS).alias("yhat"))
+    each = metrics.per_class(p, "y", "yhat").join(metrics.confusion(p, "y", "yhat", [0, 1, 2, 3]).withColumnRenamed("y", "label"), "label", "left")
+    total = metrics.summary(p, "y", "yhat").first()
+    out = each.withColumns({c: F.lit(total[c] if total else None) for c in ("accuracy", "baseline", "macro_f1", "n")})
+    return rounded(out, 6, "precision", "recall", "f1", "accuracy", "baseline", "macro_f1")
 
 
 def model_importances(s, d):
-    return model.importances(trained(s, d)[0], s)
+    return rounded(boosting.importances(fitted(s, d), T.labelled(s, d)), 5, "importance")
+
+
+def model_attributions(s, d):
+    return rounded(boosting.attributions(fitted(s, d), T.labelled(s, d), "cod_mpio"), 5, "phi")
+
+
+def model_sets(s, d):
+    """Conformal sets of every territory, calibrated on all test rows."""
+    p = predicted(s, d)
+    test = p.filter("is_test = 1").withColumn("s", conformal.nonconformity("p", "y"))
+    q = conformal.qhat(test, "s").first()
+    return conformal.sets(p, "p", F.lit(q["qhat"] if q else None), LEVELS).select("cod_mpio", "riesgo_pred", F.round("confianza", 6).alias("confianza"), "conjunto_conformal", "tamano_conjunto", "certeza_calibrada")
+
+
+def model_coverage(s, d):
+    """Coverage of the model's sets over a hundred halves of the test rows."""
+    p = predicted(s, d).filter("is_test = 1")
+    return rounded(conformal.coverage(p, "p", "y", F.xxhash64("cod_mpio", "rep"), 100), 6, "coverage", "set_size")
 
 
 def flagged(s, d):
@@ -229,17 +277,49 @@ def vector_norms(s, d):
     return T.table(s, d, "embeddings").select("vec_id", C.half_up(retrieval.norm(F.col("embedding")), 4).alias("length"))
 
 
-def fact_corpus(s, d):
+def fact_chunks(s, d):
+    text = F.format_string(
+        "%s, department %d: level %s, score %.4f. Indices: mining %.4f, forest %.4f, fire %.4f, water %.4f, sensitivity %.4f. %d titles, %d hot spots in seven days, %d protected areas.",
+        "municipio", "departamento", "riesgo_nivel", "riesgo_score", *INDICES, "mineria_titulos", "focos_7d", "runap_areas",
+    )
+    return T.labelled(s, d).select(F.concat(F.lit("mun-"), "cod_mpio").alias("id"), F.lit("municipio").alias("tipo"), "municipio", text.alias("texto"))
+
+
+def distribution_chunk(s, d):
+    counts = [F.count_if(F.col("riesgo_nivel") == v) for v in reversed(LEVELS)]
+    text = F.format_string(f"Levels of %d territories: {LEVELS[3]} %d, {LEVELS[2]} %d, {LEVELS[1]} %d, {LEVELS[0]} %d. Territories with active hot spots: %d.", F.count(F.lit(1)), *counts, F.count_if(F.col("focos_7d") > 0))
+    return T.labelled(s, d).agg(text.alias("texto")).select(F.lit("resumen-distribucion").alias("id"), F.lit("resumen").alias("tipo"), F.lit("").alias("municipio"), "texto")
+
+
+def summary_chunks(s, d):
     x = T.labelled(s, d)
-    text = F.format_string("%s: level %s, %d titles, %d hot spots, %d protected areas.", "municipio", "riesgo_nivel", "mineria_titulos", "focos_7d", "runap_areas")
-    one = x.select(F.concat(F.lit("mun-"), "cod_mpio").alias("id"), F.lit("municipio").alias("tipo"), text.alias("texto"))
-    many = report.frequency(x, "riesgo_nivel").select(F.concat(F.lit("dist-"), "riesgo_nivel").alias("id"), F.lit("resumen").alias("tipo"), F.format_string("Level %s has %d territories.", "riesgo_nivel", "n").alias("texto"))
-    return one.unionByName(many)
+    by = lambda ident, title, col, fmt: retrieval.ranking_chunk(x, ident, title, col, "cod_mpio", "municipio", "departamento", fmt)
+    parts = [
+        by("resumen-nacional-focos", "Most active hot spots in seven days", "focos_7d", "%d"),
+        by("resumen-nacional-score", "Highest priority score", "riesgo_score", "%.4f"),
+        distribution_chunk(s, d),
+        retrieval.group_chunks(x, "departamento", "cod_mpio", "municipio", F.col("riesgo_nivel").isin(*HIGH), "riesgo_score", "focos_7d"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def document_chunks(s, d):
+    return retrieval.chunk(T.table(s, d, "documents"), "doc_id", "text", "\n")
+
+
+def fact_corpus(s, d):
+    """Every kind of chunk in one table: facts, summaries, knowledge, documents."""
+    docs = document_chunks(s, d).select("id", F.lit("doc").alias("tipo"), F.lit("").alias("municipio"), "texto")
+    return fact_chunks(s, d).unionByName(summary_chunks(s, d)).unionByName(retrieval.knowledge(s)).unionByName(docs)
 
 
 def prompt_context(s, d):
-    x = T.table(s, d, "benchmark").orderBy("item_id").limit(6).withColumn("t", F.substring("text", 1, 40))
-    return retrieval.context(x, "item_id", "t", "item_id")
+    """The whole texts of the six documents nearest to a question's vector, in order."""
+    e = T.table(s, d, "embeddings")
+    q = e.filter("vec_id = 0").select("embedding").first()  # the question's vector
+    known = e.join(T.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    near = retrieval.retrieve(known, q[0] if q else [], 6).withColumn("place", F.struct((-F.col("score")).alias("s"), "vec_id"))
+    return retrieval.context(near, "vec_id", "text", "place")
 
 
 def pixels(s, d):
@@ -271,6 +351,36 @@ def mask_iou(s, d):
     return rounded(raster.iou(pixels(s, d), F.col("v0"), F.col("v1")), 6, "iou")
 
 
+GRID = (0.2, 0.0, -79.0, 0.0, -0.25, 13.0)
+
+
+def grid(s, d):
+    """One value per pixel of a 64 x 64 raster over the territories."""
+    lost = raster.loss(F.col("v0"), F.col("v1"))
+    return pixels(s, d).groupBy(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.max(lost).alias("lost"), F.max("nir0").alias("nir"))
+
+
+def zonal_polygons(s, d):
+    return raster.zonal_polygons(grid(s, d), polygons(s, d), GRID, "lost")
+
+
+def raster_patches(s, d):
+    return rounded(raster.patches(grid(s, d).withColumn("ok", F.col("nir") > 3600), 16, 8, 64, 64, "ok"), 6, "valid_share")
+
+
+def land_cover_resampled(s, d):
+    """Tree cover of a coarse land-cover raster on the pixels of a finer one."""
+    cover = grid(s, d).select("row", "col", (F.col("nir").cast("long") % 3 * 10).alias("cover"))
+    fine = (0.1, 0.0, -79.03, 0.0, -0.1, 13.04)
+    target = s.range(100).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(129))).alias("col"))
+    got = raster.resampled(target, cover, fine, GRID, "cover")
+    return got.select("row", "col", F.when(F.col("cover").isNotNull(), raster.is_forest(F.col("cover"))).alias("forest"))
+
+
+def reflectance(s, d):
+    return pixels(s, d).groupBy("zone").agg(F.max(C.half_up(raster.scaled(F.col("nir0") * 2), 4)).alias("most"), F.min(C.half_up(raster.scaled(F.col("nir0") * 2), 4)).alias("least"))
+
+
 def mask_difference(s, d):
     m = raster.mask_loss((F.col("v0") > 0.5).cast("int"), (F.col("v1") > 0.5).cast("int"))
     return pixels(s, d).groupBy("zone").agg(F.sum(m).alias("lost"))
@@ -298,10 +408,33 @@ def hotspot_windows(s, d):
 def hotspot_stream(s, d):
     """Daily totals kept up to date by a stream of the event files."""
     schema = T.table(s, d, "events").schema
-    e = live.stream(s, d, schema, names="events.parquet")
-    day = F.to_date("ts").alias("day")
-    totals = e.groupBy(F.col("event_type").alias("sensor"), day).agg(F.count(F.lit(1)).alias("focos"), C.decimal_sum("value").alias("frp_total"))
-    return live.refreshed_table(s, totals, scratch_path(s, "hotspots"))
+    e = live.stream(s, d, schema, names="events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 days")
+    totals = e.groupBy(F.col("event_type").alias("sensor"), F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("focos"), C.decimal_sum("value").alias("frp_total"))
+    totals = totals.select("sensor", F.to_date("w.start").alias("day"), "focos", "frp_total")
+    return live.refreshed_table(s, totals, ["sensor", "day"], scratch_path(s, "hotspots"))
+
+
+def hotspot_windows_stream(s, d):
+    """Sliding windows of seven days over the same stream."""
+    e = live.stream(s, d, T.table(s, d, "events").schema, names="events.parquet")
+    w = live.windowed(e.withColumnRenamed("event_type", "sensor"), "ts", "sensor", "value")
+    w = w.select("sensor", F.to_date("start").alias("first_day"), "focos", "frp_total")
+    return live.refreshed_table(s, w, ["sensor", "first_day"], scratch_path(s, "windows"))
+
+
+def trace_tables(s, d):
+    """(kind, name, value): indicators of the whole table, coverage, and assertions that
+    hold (1) or do not (0)."""
+    x = T.labelled(s, d)
+    signals = {"mineria_titulos": "mining", "deforestacion_ha": "forest", "agua_estaciones": "water", "runap_areas": "protected", "es_pdet": "pdet"}
+    one = lambda c: F.sum(c.cast("decimal(20,4)")).cast("double")
+    facts = {"territories": F.count(F.lit(1)).cast("double"), "hot_spots": one(F.col("focos_7d")), "with_fire": one((F.col("focos_7d") > 0).cast("int")), "high": one(F.col("riesgo_nivel").isin(*HIGH).cast("int")), "top_score": F.max("riesgo_score")}
+    checks = {"keys_unique": F.count(F.lit(1)) == F.count_distinct("cod_mpio"), "scores_in_range": F.min(F.col("riesgo_score").between(0, 1)), "no_water_without_sample": F.min((F.col("agua_estaciones") > 0) | (F.col("idx_hidrico") == 0)), "four_levels": F.count_distinct("riesgo_nivel") <= 4}
+    row = x.agg(*[c.alias(f"f_{n}") for n, c in facts.items()], *[c.cast("double").alias(f"a_{n}") for n, c in checks.items()])
+    parts = [F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("name"), F.col(f"{p}_{n}").alias("value")) for kind, p, names in (("indicator", "f", facts), ("assertion", "a", checks)) for n in names]
+    listed = row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    cover = report.coverage(x, signals).select(F.lit("coverage").alias("kind"), F.col("signal").alias("name"), F.col("percent").alias("value"))
+    return listed.unionByName(cover)
 
 
 QUERIES = {
@@ -319,6 +452,12 @@ QUERIES = {
     "source_registry": lambda s, d: readers.catalogue(s),
     "index_logminmax": lambda s, d: T.labelled(s, d).select("cod_mpio", *INDICES),
     "risk_score_level": T.labelled,
+    "master_by_code": lambda s, d: T.labelled(s, d).orderBy("cod_mpio").select("cod_mpio", "municipio", "riesgo_nivel"),
+    "score_minmax": lambda s, d: index.minmax(T.labelled(s, d), "riesgo_score", "relative").select("cod_mpio", "relative"),
+    "coordinates_present": coordinates_present,
+    "hotspot_windows_stream": hotspot_windows_stream,
+    "trace_tables": trace_tables,
+    "top6_per_department_focos": lambda s, d: report.top_per_group(T.labelled(s, d).filter("focos_7d > 0"), 6, "departamento", "focos_7d", "cod_mpio").select("departamento", "cod_mpio", "focos_7d", "place"),
     "level_distribution": lambda s, d: report.frequency(T.labelled(s, d), "riesgo_nivel"),
     "level_monotonicity": level_monotonicity,
     "signal_coverage": signal_coverage,
@@ -335,6 +474,7 @@ QUERIES = {
     "choropleth_values": choropleth_values,
     "dominant_factor": dominant_factor,
     "territory_card": territory_card,
+    "territory_card_model": territory_card_model,
     "view_filter": view_filter,
     "display_clip": display_clip,
     "name_override": name_override,
@@ -352,11 +492,16 @@ QUERIES = {
     "model_train_predict": model_train_predict,
     "model_evaluation": model_evaluation,
     "model_importances": model_importances,
+    "model_attributions": model_attributions,
+    "model_sets": model_sets,
+    "model_coverage": model_coverage,
     "isolation_forest": isolation_forest,
+    "anomaly_top10": lambda s, d: anomaly.ranked(flagged(s, d), "cod_mpio").select("cod_mpio", "riesgo_nivel", "score_anomalia", *INDICES),
     "anomaly_cross": lambda s, d: anomaly.crossed(flagged(s, d)),
     "cosine_topk": cosine_topk,
     "vector_norms": vector_norms,
-    "document_chunks": lambda s, d: retrieval.chunk(T.table(s, d, "documents"), "doc_id", "text", "\n"),
+    "document_chunks": document_chunks,
+    "summary_chunks": summary_chunks,
     "fact_corpus": fact_corpus,
     "knowledge_base": lambda s, d: retrieval.knowledge(s),
     "prompt_context": prompt_context,
@@ -365,5 +510,10 @@ QUERIES = {
     "raster_tiles": raster_tiles,
     "mask_iou": mask_iou,
     "mask_difference": mask_difference,
+    "zonal_polygons": zonal_polygons,
+    "raster_patches": raster_patches,
+    "land_cover_resampled": land_cover_resampled,
+    "reflectance": reflectance,
     "quality_violations": quality_violations,
+    **R.QUERIES,
 }

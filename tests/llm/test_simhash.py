@@ -56,7 +56,7 @@ def test_links_connect_like_brute_force(spark):
     want = classes(fps, 2)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
-    for block, hot in ((16, 40), (100, 1 << 16), (10**6, 200)):
+    for block, hot in ((512, 40), (0, 1 << 16), (0, 20)):
         links = S.fingerprint_links(nodes, 2, block, hot)
         root = {x.node: x.root for x in components(links).collect()}
         group = {}
@@ -65,6 +65,21 @@ def test_links_connect_like_brute_force(spark):
         assert all(len(g) == 1 for g in group.values()) and len({min(g) for g in group.values()}) == len(group)
 
 
+def test_some_choice_of_bits_is_shared():
+    r = random.Random(7)
+    for total, radius, size in ((10**4, 2, 512), (10**10, 2, 512), (10**13, 2, 512), (10**6, 1, 512), (10**6, 4, 512)):
+        ways = S.block_masks(total, radius, size)
+        masks = [sum(((1 << w) - 1) << low for low, w in way) for way in ways]
+        assert all(sum(w for _, w in way) == m.bit_count() for way, m in zip(ways, masks))
+        for _ in range(300):
+            a = r.getrandbits(64)
+            b = a
+            for _ in range(radius):
+                b ^= 1 << r.randrange(64)
+            assert any((a ^ b) & m == 0 for m in masks)
+    assert len(S.block_masks(10**9, 2, 512)) == 3 and len(S.block_masks(10**12, 2, 512)) == 6
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (7, 100), (5, 5), (200, 201), (202, 200), (300, None)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

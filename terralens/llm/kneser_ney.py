@@ -5,8 +5,8 @@ shuffle brings a bucket together. A bucket is named by the middle word, so the c
 of the context (u, v) and the contexts of the pair (v, w) are whole in it. A middle word
 that would fill more than two buckets by itself is spread by u, and a pair (u, v) that
 would by w; their sums meet in a second, small shuffle. Storage: per bucket sorted
-hash arrays of trigrams (count), contexts (count, words seen once, twice, more often)
-and pairs (number of contexts), and arrays of words. Scoring: workers map these arrays
+hash arrays of trigrams (count), pairs (number of contexts) and contexts that occur
+twice or more (count, words seen once, twice, more often), and arrays of words. Scoring: workers map these arrays
 into memory and search them; no model is collected, broadcast or joined.
 """
 
@@ -27,7 +27,7 @@ END, BOS = U64(0x8C3A5D1E77F20000), U64(0x3F19C2E4A6D80000)
 #: Tokens that a mapper folds at once; their numbers have to fit 21 bits.
 TOKENS = 1_500_000
 #: Bytes of text whose trigrams make a bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Buckets that a word fills by itself before it is spread, and sampled tokens per bucket.
 SPREAD, SAMPLED = 2, 64
 WORD_COLUMNS = {"c": np.int64, "nc": np.int64, "cx": np.int64, "g": np.float64}
@@ -63,6 +63,10 @@ def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix64(mix64(mix64(u) + v) + w)
 
 
+#: Key of the context of a row's first token, which is no pair of tokens.
+_STARTS = pair_key(np.array([BOS]), np.array([BOS]))[0]
+
+
 class Places:
     """Which bucket holds what; ``hot_words`` and ``hot_pairs`` are sorted keys with the
     bits by which each is spread."""
@@ -238,11 +242,21 @@ def _from_planes(raw: bytes, at: int, n: int, size: int, kind) -> tuple[np.ndarr
 
 
 def _pack_triples(known: np.ndarray, u, v, w, count) -> bytes:
-    """Trigrams, sorted by v and u, as numbers of the blob's own sorted words."""
-    used, back = np.unique(np.concatenate((u, v, w)), return_inverse=True)
-    u, v, w = np.split(back.astype(np.uint32), 3)
-    step = lambda x: np.diff(x, prepend=np.uint32(0))
-    parts = [_planes(np.diff(known[used] >> U64(16), prepend=U64(0)), 6), _planes(step(v), 4), _planes(step(u), 4), _planes(w, 4), _planes(count.astype(np.uint32), 4)]
+    """Trigrams, sorted by v and u, as numbers of the blob's own words, frequent ones first
+    (by powers of four, and by hash within one), so that most numbers are small."""
+    used, back, times = np.unique(np.concatenate((u, v, w)), return_inverse=True, return_counts=True)
+    order = np.argsort(-(np.frexp(times)[1] // 2), kind="stable")
+    place = np.empty(len(used), np.uint32)
+    place[order] = np.arange(len(used), dtype=np.uint32)
+    used, back = used[order], place[back]
+    u, v, w = np.split(back, 3)
+    order = np.lexsort((u, v))
+    u, v, w, count = u[order], v[order], w[order], count[order]
+    # u goes up within each v
+    up = np.diff(u, prepend=np.uint32(0))
+    at = _runs(v)
+    up[at] = u[at]
+    parts = [_planes(np.diff(known[used] >> U64(16), prepend=U64(0)), 6), _planes(np.diff(v, prepend=np.uint32(0)), 4), _planes(up, 4), _planes(w, 4), _planes(count.astype(np.uint32), 4)]
     head = np.array([len(used), len(u)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
 
@@ -253,10 +267,13 @@ def _unpack_triples(blob: bytes):
     known, at = _from_planes(raw, 16, k, 6, U64)
     known = np.cumsum(known, dtype=U64) << U64(16)
     out = []
-    for stepped in (True, True, False, False):
+    for _ in range(4):
         x, at = _from_planes(raw, at, n, 4, np.uint32)
-        out.append(np.cumsum(x, dtype=np.uint32) if stepped else x)
-    v, u, w, count = out
+        out.append(x)
+    v, up, w, count = out
+    v = np.cumsum(v, dtype=np.uint32)
+    at, u = _runs(v), np.cumsum(up, dtype=np.uint32)
+    u -= np.repeat(u[at] - up[at], np.diff(np.append(at, n)))
     return known[u], known[v], known[w], count.astype(np.int64)
 
 
@@ -385,13 +402,16 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
                 done[name].append(bucket)
 
         for bucket, blobs in hx.by_bucket(batches):
-            u, v, w, count = (np.concatenate(x) for x in zip(*map(_unpack_triples, blobs), strict=True))
+            parts_ = [_unpack_triples(blobs.pop()) for _ in range(len(blobs))]
+            u, v, w, count = (np.concatenate([p[i] for p in parts_]) for i in range(4))
+            del parts_
             key = triple_key(u, v, w)
             order = np.argsort(key)
             key, count = key[order], count[order]
             at = _runs(key)
             key, count, first = key[at], np.add.reduceat(count, at), order[at]
             u, v, w = u[first], v[first], w[first]
+            del order, first
             keep("triples", bucket, key, [count])
             seen["triples"] += _counts_of_counts(count)
             rows: list = []
@@ -404,8 +424,9 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
                 ctx = _sums(pair_key(u[chosen], v[chosen]), n, n == 1, n == 2, n >= 3)
                 if chosen is hot:
                     _send(rows, _CONTEXTS, ctx[0], places, *ctx[1:])
-                else:
-                    keep("contexts", bucket, ctx[0], list(ctx[1:]))
+                else:  # a context that occurs once is known by its pair, which is kept as one
+                    often = (ctx[1] > 1) | (ctx[0] == _STARTS)
+                    keep("contexts", bucket, ctx[0][often], [x[often] for x in ctx[1:]])
             # pairs (v, w): a trigram is a context of its pair
             hot = places.hot_word(v)
             for chosen in (~hot, hot):
@@ -558,11 +579,9 @@ class Scorer:
         distinct, back = np.unique(np.append(w, BOS), return_inverse=True)
         known = hx.find(*m["words"], distinct, WORD_COLUMNS)
         back, bos = back[:-1], back[-1]
-        one_back, two_back = np.full(len(w), bos), np.full(len(w), bos)
+        one_back = np.full(len(w), bos)
         one_back[1:] = back[:-1]
         one_back[first[:-1]] = bos
-        two_back[1:] = one_back[:-1]
-        two_back[first[:-1]] = bos
         c = known["c"][back]
         base = np.log10((c + 1) / (m["N"] + m["V"] + 1))
         nc = known["nc"]
@@ -577,12 +596,15 @@ class Scorer:
         cx = known["cx"][one_back]
         p2 = np.where(cx > 0, np.maximum(nc2 - _discount(nc2, m["pair_d"]), 0) / np.maximum(cx, 1) + known["g"][one_back] * p1[back], p1[back])
 
-        # contexts (u, v) and trigrams
+        # contexts (u, v), each the pair of the token before, and trigrams
         context = np.zeros((len(w), 4), np.int64)
-        at = np.flatnonzero(there[one_back] & there[two_back])
+        seen = np.roll(nc2, 1) > 0
+        seen[first[:-1]] = there[bos]
+        at = np.flatnonzero(seen)
         bucket = places.triple(u, v, w) if len(w) else np.zeros(0, np.int32)
         if len(at):
-            context[at] = self._either(pair_key(u[at], v[at]), places.hot_pair(u[at], v[at]), bucket[at], "contexts", "hot-contexts")[1]
+            often, context[at] = self._either(pair_key(u[at], v[at]), places.hot_pair(u[at], v[at]), bucket[at], "contexts", "hot-contexts")
+            context[at[~often]] = 1, 1, 0, 0
         n = np.zeros(len(w), np.int64)
         at = np.flatnonzero((context[:, 0] > 0) & (nc2 > 0))
         if len(at):

@@ -149,13 +149,13 @@ SQL = {
     "hotspot_products": _w(HOT) + " SELECT sensor, acq_date, count(*) AS focos, sum(frp::DECIMAL(18,4))::DOUBLE AS frp_total FROM hot WHERE sensor IN ('click', 'view') AND lon BETWEEN -78 AND -68 AND lat BETWEEN -3 AND 12 GROUP BY ALL",
     "geojson_polygons": _w(HOT, POLY) + f", h AS (SELECT event_id, min(cod) AS cod FROM (SELECT event_id, poly.cod AS cod FROM hot, poly WHERE ({CROSSINGS}) % 2 = 1) GROUP BY 1) SELECT h.cod::BIGINT AS cod, n_name AS mpio, count(*) AS focos FROM h JOIN nation ON n_nationkey = h.cod GROUP BY ALL",
     "scene_search": _w(POLY, "f AS (SELECT printf('scene-%02d-%d', n_nationkey, n_regionkey) AS item, n_regionkey::VARCHAR AS region, x, y, (n_nationkey * 7 % 40)::DOUBLE AS cloud, strftime(DATE '2024-01-01' + (n_nationkey * 11 % 60)::INT, '%Y-%m-%d') AS date FROM poly JOIN nation ON n_nationkey = cod)", "k AS (SELECT * FROM f WHERE x + 0.5 >= -78 AND x - 0.5 <= -68 AND y + 0.5 >= -3 AND y - 0.5 <= 12 AND date BETWEEN '2024-01-01' AND '2024-02-15' AND cloud < 30)") + " SELECT region, arg_min(item, struct_pack(cloud, item)) AS item, arg_min(date, struct_pack(cloud, item)) AS date, min(cloud) AS cloud FROM k GROUP BY region",
-    "raster_window": "SELECT r::BIGINT AS row, c::BIGINT AS col, coalesce(max(l_suppkey % 200), 0) AS value FROM range(20, 60) a(r), range(30, 55) b(c) LEFT JOIN lineitem ON l_orderkey % 90 = r AND l_partkey % 70 = c GROUP BY ALL",
+    "raster_window": "SELECT r::INT AS row, c::INT AS col, coalesce(max(l_suppkey % 200), 0) AS value FROM range(20, 60) a(r), range(30, 55) b(c) LEFT JOIN lineitem ON l_orderkey % 90 = r AND l_partkey % 70 = c GROUP BY ALL",
     "json_summary": "SELECT count(*) AS n, max(o_totalprice) AS most FROM orders",
     "text_documents": "SELECT 'doc' || r_regionkey || '-' || i AS id, CASE i WHEN 0 THEN '# ' || r_name || chr(10) || chr(10) || 'intro ' || r_regionkey WHEN 1 THEN 'First' || chr(10) || chr(10) || 'one' ELSE 'Second' || chr(10) || 'two' END AS texto FROM region, range(3) t(i)",
     "vector_index": "SELECT vec_id, label, floor(sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * 1e4 + 0.5) / 1e4 AS length FROM embeddings",
     "saved_model": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS said FROM part",
-    "console_report": "SELECT 0::BIGINT AS line, 'Regions' AS text UNION ALL SELECT 1, 'r_regionkey  r_name' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), rpad(r_regionkey::VARCHAR, 11, ' ') || '  ' || r_name FROM region",
-    "html_report": "SELECT i::BIGINT AS line, t AS text FROM (SELECT unnest(range(5)) AS i, unnest(['<!doctype html><meta charset=utf-8><title>Regions</title><h1>Regions</h1>', '<h2>Note</h2>', '<p>a &lt; b &amp; c</p>', '<h2>Table</h2>', (SELECT '<table><tr><th>r_regionkey</th><th>r_name</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>', '' ORDER BY r_regionkey) || '</table>' FROM region)]) AS t)",
+    "console_report": "SELECT 0::INT AS line, 'Regions' AS text UNION ALL SELECT 1, 'r_regionkey  r_name' UNION ALL SELECT (1 + row_number() OVER (ORDER BY r_regionkey))::INT, rpad(r_regionkey::VARCHAR, 11, ' ') || '  ' || r_name FROM region",
+    "html_report": "SELECT i::INT AS line, t AS text FROM (SELECT unnest(range(5)) AS i, unnest(['<!doctype html><meta charset=utf-8><title>Regions</title><h1>Regions</h1>', '<h2>Note</h2>', '<p>a &lt; b &amp; c</p>', '<h2>Table</h2>', (SELECT '<table><tr><th>r_regionkey</th><th>r_name</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>', '' ORDER BY r_regionkey) || '</table>' FROM region)]) AS t)",
     "missing_outputs": "SELECT 'gone' AS name",
     "missing_columns": "SELECT unnest(['n_code', 'n_area']) AS name",
     "segmented_tiles": "SELECT (r // 16)::INT AS i, (c // 16)::INT AS j, count(*)::INT AS pixels, sum((v > 48.5)::INT)::INT AS lit FROM (SELECT (l_orderkey % 64)::INT AS r, (l_partkey % 64)::INT AS c, max(l_suppkey % 97) AS v FROM lineitem GROUP BY ALL) GROUP BY ALL",

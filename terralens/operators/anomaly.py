@@ -89,10 +89,15 @@ def isolation_forest(df: DataFrame, features: tuple[str, ...], key: str, trees:
             yield pdf.assign(_raw=np.floor(2 ** (-mean / max(unit, 1e-9)) * 1e6 + 0.5) / 1e6)
 
     scored = df.mapInPandas(judge, schema)
-    scored = written(scored, "anomalies")  # read for its range, its quantile and the result
-    # a score has six decimals, so a million values at most
-    cut = F.lit(order_statistics(scored, "_raw", (1 - contamination,))[0])
-    return minmax(scored, "_raw", "score_anomalia").withColumn("es_anomalia", (F.col("_raw") > cut).cast("int")).drop("_raw")
+    # read for its range, its quantile and the result; a score has six decimals, so a million values at most
+    return flag(written(scored, "anomalies"), "_raw", contamination).drop("_raw")
+
+
+def flag(df: DataFrame, value: str, contamination: float = 0.05) -> DataFrame:
+    """With score_anomalia, the value stretched over the table's range, and es_anomalia,
+    1 where it lies above the quantile that the share of anomalies leaves."""
+    cut = F.lit(order_statistics(df, value, (1 - contamination,))[0])
+    return minmax(df, value, "score_anomalia").withColumn("es_anomalia", (F.col(value) > cut).cast("int"))
 
 
 def crossed(df: DataFrame, level: str = "riesgo_nivel") -> DataFrame:

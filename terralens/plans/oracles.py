@@ -110,8 +110,12 @@ SUMMARIES = f"""{_ranking('resumen-nacional-focos', 'Most active hot spots in se
     GROUP BY departamento HAVING bool_or(high) OR bool_or(focos_7d > 0)"""
 MEANS = "m AS (SELECT " + ", ".join(f"avg({c}::DECIMAL(18,6)) AS m_{c}" for c in IDX) + " FROM labelled)"
 IDX_WEIGHTS = dict(zip(IDX, ("0.3", "0.25", "0.15", "0.2", "0.1"), strict=True))
+IMPORTANCES = " UNION ALL ".join(f"SELECT '{c}' AS feature, floor(avg(abs({w}::DOUBLE * ({c} - m_{c}))::DECIMAL(20,10))::DOUBLE * 1e5 + 0.5) / 1e5 AS importance FROM labelled, m" for c, w in IDX_WEIGHTS.items())
 GRID = PIXELS + """, grid AS (SELECT row_::INT AS r, col_::INT AS c, max((v0 > 0.6 AND v0 - v1 > 0.15)::INT) AS lost, max(nir0) AS nir FROM nd GROUP BY ALL)"""
 
+NEAREST = ("q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)", "s AS (SELECT vec_id, text, floor(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)) / ((sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) + 1e-9) * (sqrt(list_dot_product(list_transform(e, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))) + 1e-9)) * 1e4 + 0.5) / 1e4 AS score FROM embeddings JOIN documents ON doc_id = vec_id, q)")
+FLAGS = "b AS (SELECT min(riesgo_score) AS lo, max(riesgo_score) AS hi, list_sort(list(riesgo_score)) AS v, count(*) AS n FROM labelled), flags AS (SELECT labelled.*, floor((riesgo_score - lo) / (hi - lo + 1e-9) * 1e4 + 0.5) / 1e4 AS score_anomalia, (riesgo_score > v[least(n - 1, floor(0.95 * n)::BIGINT) + 1])::INT AS es_anomalia FROM labelled, b)"
+
 SQL = {
     "territory_card": _w(LABELLED, DOMINANT + f", e AS (SELECT municipio, riesgo_nivel, printf('%.4f', riesgo_score) AS score, focos_7d::VARCHAR AS focos, {DOM} AS dom, " + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in IDX) + " FROM d WHERE cod_mpio = '00042')")
     + f" SELECT unnest(['municipio', 'nivel', 'score', 'focos', 'dominante', {', '.join(map(_text, IDX))}]) AS field, unnest([municipio, riesgo_nivel, score, focos, dom, {', '.join(IDX)}]) AS value FROM e",
@@ -123,12 +127,18 @@ SQL = {
     "document_chunks": CHUNKS,
     "summary_chunks": _w(LABELLED) + " " + SUMMARIES,
     "knowledge_base": KB,
+    "score_flags": _w(LABELLED, FLAGS) + " SELECT cod_mpio, score_anomalia, es_anomalia FROM flags",
+    "score_flags_cross": _w(LABELLED, FLAGS) + " SELECT count(*) FILTER (es_anomalia = 1) AS anomalias, count(*) FILTER (es_anomalia = 1 AND riesgo_nivel IN ('Alto', 'Crítico')) AS en_nivel_alto, count(*) FILTER (es_anomalia = 1 AND riesgo_nivel NOT IN ('Alto', 'Crítico')) AS no_priorizadas FROM flags",
+    "score_flags_top10": _w(LABELLED, FLAGS) + " SELECT cod_mpio, score_anomalia FROM flags WHERE es_anomalia = 1 ORDER BY score_anomalia DESC, cod_mpio LIMIT 10",
+    "embedded_batches": "SELECT item_id, floor(x / n * 1e6 + 0.5) / 1e6 AS x, floor(y / n * 1e6 + 0.5) / 1e6 AS y, floor(z / n * 1e6 + 0.5) / 1e6 AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) + 1e-9 AS n FROM (SELECT item_id, length(text)::DOUBLE AS x, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS y, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS z FROM benchmark))",
+    "assistant_answer": _w(*NEAREST) + " SELECT 'Evidence:' || chr(10) || string_agg('[' || vec_id || '] ' || text, chr(10) ORDER BY score DESC, vec_id) || chr(10) || chr(10) || 'Question: Which come first?' AS answer, count(*)::INT AS sources FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 6)",
     "fact_corpus": _w(LABELLED) + f" {FACTS} UNION ALL {SUMMARIES} UNION ALL {KB} UNION ALL SELECT id, 'doc', '', texto FROM ({CHUNKS})",
-    "prompt_context": _w("q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)", "s AS (SELECT vec_id, text, floor(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)) / ((sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) + 1e-9) * (sqrt(list_dot_product(list_transform(e, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))) + 1e-9)) * 1e4 + 0.5) / 1e4 AS score FROM embeddings JOIN documents ON doc_id = vec_id, q)")
+    "prompt_context": _w(*NEAREST)
     + " SELECT string_agg('[' || vec_id || '] ' || text, chr(10) ORDER BY score DESC, vec_id) AS prompt FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 6)",
     "source_registry": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([*map(_text, r[:4]), "[" + ", ".join(map(_text, r[4])) + "]", *map(_text, r[5:])]) + ")" for r in CATALOGUE) + ") t(source, dimension, portal, status, expected, description, limitation)",
     "source_status": "SELECT * FROM (VALUES " + ", ".join(f"({_text(r[0])}, {_text(r[3])}, {str(r[0] in ('territory', 'pdet')).lower()}, {'(SELECT count(*) FROM nation)' if r[0] in ('territory', 'pdet') else 'NULL'}, {_text('latitud,longitud' if r[0] == 'territory' else '' if r[0] == 'pdet' else ','.join(r[4]))})" for r in CATALOGUE) + ") t(source, status, present, n, lacking)",
-    "shapley_importance": _w(LABELLED, MEANS) + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, floor(avg(abs({w}::DOUBLE * ({c} - m_{c}))::DECIMAL(20,10))::DOUBLE * 1e5 + 0.5) / 1e5 AS importance FROM labelled, m" for c, w in IDX_WEIGHTS.items()),
+    "top_importances": _w(LABELLED, MEANS) + f" SELECT * FROM ({IMPORTANCES}) ORDER BY importance DESC, feature LIMIT 4",
+    "shapley_importance": _w(LABELLED, MEANS) + " " + IMPORTANCES,
     "master_by_code": _w(LABELLED) + " SELECT cod_mpio, municipio, riesgo_nivel FROM labelled ORDER BY cod_mpio",
     "score_minmax": _w(LABELLED, "b AS (SELECT min(riesgo_score) AS lo, max(riesgo_score) AS hi FROM labelled)") + " SELECT cod_mpio, floor((riesgo_score - lo) / (hi - lo + 1e-9) * 1e4 + 0.5) / 1e4 AS relative FROM labelled, b",
     "coordinates_present": "SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND ((c_custkey * 7919) % 1700)::DOUBLE / 100 - 4 <> 0 AND ((c_custkey * 104729) % 1200)::DOUBLE / 100 - 79 <> 0",

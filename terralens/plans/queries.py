@@ -267,6 +267,35 @@ def isolation_forest(s, d):
     return flagged(s, d).select("cod_mpio", "riesgo_nivel", "score_anomalia", "es_anomalia")
 
 
+def score_flags(s, d):
+    """The anomaly flag, ranking and cross table on the composite score, which SQL repeats."""
+    return anomaly.flag(T.labelled(s, d), "riesgo_score")
+
+
+def top_importances(s, d):
+    return shapley_importance(s, d).orderBy(F.desc("importance"), "feature").limit(4)
+
+
+def traits(texts):
+    """Stands in for an embedding service: three counts of a text."""
+    return [[float(len(t)), float(t.count("a")), float(t.count(" "))] for t in texts]
+
+
+def embedded_batches(s, d):
+    x = retrieval.embedded(T.table(s, d, "benchmark"), "text", traits, 64)
+    unit = retrieval.l2_normalised(F.col("vector"))
+    return x.select("item_id", *[C.half_up(unit[i], 6).alias(n) for i, n in enumerate(("x", "y", "z"))])
+
+
+def assistant_answer(s, d):
+    """A question put to the six nearest chunks; the stand-in service answers with what it was asked."""
+    e = T.table(s, d, "embeddings")
+    q = e.filter("vec_id = 0").select("embedding").first()
+    known = e.join(T.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("texto")), "vec_id").select(F.col("vec_id").alias("id"), "texto", F.col("embedding").alias("vector"))
+    got = retrieval.ask("Which come first?", known, lambda _: [q[0] if q else []], lambda messages: messages[1]["content"])
+    return s.createDataFrame([(got["answer"], len(got["sources"]))], "answer string, sources int")
+
+
 def cosine_topk(s, d):
     e = T.table(s, d, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()  # the question's vector
@@ -498,6 +527,12 @@ QUERIES = {
     "isolation_forest": isolation_forest,
     "anomaly_top10": lambda s, d: anomaly.ranked(flagged(s, d), "cod_mpio").select("cod_mpio", "riesgo_nivel", "score_anomalia", *INDICES),
     "anomaly_cross": lambda s, d: anomaly.crossed(flagged(s, d)),
+    "score_flags": lambda s, d: score_flags(s, d).select("cod_mpio", "score_anomalia", "es_anomalia"),
+    "score_flags_cross": lambda s, d: anomaly.crossed(score_flags(s, d)),
+    "score_flags_top10": lambda s, d: anomaly.ranked(score_flags(s, d), "cod_mpio").select("cod_mpio", "score_anomalia"),
+    "top_importances": top_importances,
+    "embedded_batches": embedded_batches,
+    "assistant_answer": assistant_answer,
     "cosine_topk": cosine_topk,
     "vector_norms": vector_norms,
     "document_chunks": document_chunks,

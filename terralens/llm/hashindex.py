@@ -2,24 +2,28 @@
 
 Mappers fold the 64-bit keys of a task to (key, count) and pack them per bucket
 (the key's top bits); one shuffle brings a bucket together; the reducer keeps
-what it wants and writes one sorted array per bucket. Keys are hashes, so buckets
+what it wants and writes one sorted array per bucket, many buckets a file. Keys are hashes, so buckets
 are even whatever the data; a frequent key arrives once per flush of a task.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from terralens.llm.common import U64, filesystem, pack, put_file, unpack
+from terralens.llm.common import U64, filesystem, pack, unpack
 
 BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 BLOBS_DDL = "bucket int, blob binary"
 #: Keys a mapper holds, at least and at most, before it folds and sends them.
 FLUSH, FLUSH_MOST = 1_500_000, 12_000_000
+#: Bits of the number of a shelf's file.
+PART_BITS = 14
 
 
 def bucket_bits(n_bytes: int, per_bucket: int = 32 << 20) -> int:
@@ -36,7 +40,7 @@ def flush_size(bits: int) -> int:
 
 
 def bitmap(numbers, bits: int) -> np.ndarray:
-    """The set of bucket numbers as bits: an eighth of a byte for a bucket."""
+    """A set of numbers of so many bits, as a bitmap."""
     out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     numbers = np.asarray(numbers, np.int64)
     np.bitwise_or.at(out, numbers >> 3, np.left_shift(1, numbers & 7).astype(np.uint8))
@@ -111,41 +115,102 @@ def merged(blobs: list[bytes], kind):
     return fold(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
 
 
-def gathered(blob_df, parts: int):
-    """The blobs dealt by bucket, each partition sorted by it."""
-    return blob_df.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-
-def write_buckets(blob_df, one, bits: int) -> np.ndarray:
-    """Deal the blobs out by bucket and call ``one(bucket, blobs)``, which writes what
-    it wants and tells whether it did. Returns the filled buckets as a bitmap; every
-    task sends its numbers in one row."""
-    spark = blob_df.sparkSession
-
+def gathered(blob_df, parts: int, bits: int):
+    """The blobs dealt by the shelf part that holds their bucket, sorted by bucket."""
+    return blob_df.repartition(parts, F.shiftright("bucket", max(0, bits - PART_BITS))).sortWithinPartitions("bucket")
+
+
+class Shelf:
+    """Arrays of every bucket below a root. A file holds the buckets of one part, a run
+    of bucket numbers, so there are 2**PART_BITS files at most, however many buckets;
+    at its end stands where each bucket's arrays are."""
+
+    def __init__(self, root: str, bits: int, kinds: dict):
+        self.root, self.bits, self.kinds, self.parts = root, bits, kinds, None
+        self.shift = max(0, bits - PART_BITS)
+
+    def filled(self, parts) -> Shelf:
+        """Tell which parts were written."""
+        self.parts = bitmap(parts, self.bits - self.shift)
+        return self
+
+    def get(self, bucket: int) -> list[np.ndarray] | None:
+        part = bucket >> self.shift
+        if not has(self.parts, part):
+            return None
+        raw = Column.get(f"{self.root}/{part}", np.uint8)
+        size = 16 * len(self.kinds) << self.shift
+        table = raw[len(raw) - size :].view(np.int64).reshape(1 << self.shift, len(self.kinds), 2)
+        places = table[bucket - (part << self.shift)]
+        if places[0, 0] < 0:
+            return None
+        return [raw[at : at + n].view(kind) for (at, n), kind in zip(places.tolist(), self.kinds.values(), strict=True)]
+
+    def writer(self) -> ShelfWriter:
+        return ShelfWriter(self)
+
+
+class ShelfWriter:
+    """Writes the buckets of a task, which come in order, part by part. A part's file is
+    written whole or not at all, so that a repeated or speculative task does no harm."""
+
+    def __init__(self, shelf: Shelf):
+        self.shelf, self.part, self.done = shelf, None, []
+
+    def add(self, bucket: int, *arrays) -> None:
+        part = bucket >> self.shelf.shift
+        if part != self.part:
+            self.close()
+            self.part = part
+            self.fsys, self.path = filesystem(f"{self.shelf.root}/{part}")
+            self.fsys.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+            self.tmp, self.at = f"{self.path}.{uuid.uuid4().hex}.tmp", 0
+            self.out = self.fsys.open_output_stream(self.tmp, compression=None)
+            self.table = np.full((1 << self.shelf.shift, len(self.shelf.kinds), 2), -1, np.int64)
+        for i, (a, kind) in enumerate(zip(arrays, self.shelf.kinds.values(), strict=True)):
+            raw = np.ascontiguousarray(np.frombuffer(a, np.uint8) if isinstance(a, bytes) else np.asarray(a).astype(kind, copy=False)).tobytes()
+            self.table[bucket - (part << self.shelf.shift), i] = self.at, len(raw)
+            self.out.write(raw + bytes(-len(raw) % 8))
+            self.at += len(raw) + -len(raw) % 8
+
+    def close(self) -> list[int]:
+        """Finish the part at hand; the parts written so far."""
+        if self.part is not None:
+            self.out.write(self.table.tobytes())
+            self.out.close()
+            self.fsys.move(self.tmp, self.path)
+            self.done.append(self.part)
+            self.part = None
+        return self.done
+
+
+def write_buckets(blob_df, shelf: Shelf, one) -> Shelf:
+    """Deal the blobs out by bucket and write what ``one(blobs)`` makes of a bucket, if
+    anything. Every task sends the numbers of its parts in one row."""
     def write(batches):
-        done = [bucket for bucket, blobs in by_bucket(batches) if one(bucket, blobs)]
-        yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(done, np.int32).tobytes()], pa.binary())})
+        out = shelf.writer()
+        for bucket, blobs in by_bucket(batches):
+            arrays = one(blobs)
+            if len(arrays[0]):
+                out.add(bucket, *arrays)
+        yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(out.close(), np.int32).tobytes()], pa.binary())})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = gathered(blob_df, parts).mapInArrow(write, "done binary").collect()
-    return bitmap(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in rows)]), bits)
+    parts = int(blob_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = gathered(blob_df, parts, shelf.bits).mapInArrow(write, "done binary").collect()
+    return shelf.filled(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in rows)]))
 
 
-def written(blob_df, root: str, least: int, bits: int) -> np.ndarray:
-    """Write the keys that occur ``least`` times or more as sorted arrays below
-    ``root``; returns the filled buckets."""
-    def one(bucket, blobs):
+def written(blob_df, root: str, least: int, bits: int) -> Shelf:
+    """Write the keys that occur ``least`` times or more as sorted arrays below ``root``."""
+    def one(blobs):
         keys, counts = merged(blobs, np.uint8)
-        keys = keys[counts >= least]
-        if len(keys):
-            put_file(f"{root}/{bucket}.key", keys)
-        return len(keys) > 0
+        return (keys[counts >= least],)
 
-    return write_buckets(blob_df, one, bits)
+    return write_buckets(blob_df, Shelf(root, bits, {"key": U64}), one)
 
 
 class Column:
-    """One array file, memory-mapped where the shared folder is a mounted one."""
+    """One file as an array, memory-mapped where the shared folder is a mounted one."""
 
     _open: OrderedDict = OrderedDict()
 
@@ -162,11 +227,10 @@ class Column:
             with fsys.open_input_file(path) as f:
                 array = np.frombuffer(f.read(), kind)
         cls._open[uri] = array
-        while len(cls._open) > (2048 if uri.startswith(("file:", "/")) else 8):
+        while len(cls._open) > (20_000 if uri.startswith(("file:", "/")) else 8):
             cls._open.popitem(last=False)
         return array
 
-
     @classmethod
     def close(cls, root: str) -> None:
         """Let go of the arrays below ``root``, so that deleting them frees their disk."""
@@ -174,22 +238,24 @@ class Column:
             del cls._open[uri]
 
 
-def find(root: str, bits: int, filled: np.ndarray, sorted_keys: np.ndarray, columns: dict[str, object]) -> dict[str, np.ndarray]:
-    """Rows of sorted keys in the arrays below ``root``; missing keys get zeros.
-    ``found`` tells which are there."""
-    out = {c: np.zeros(len(sorted_keys), kind) for c, kind in columns.items()}
+def find(shelf: Shelf, sorted_keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of sorted keys in a shelf, whose first array is the keys; missing keys get
+    zeros. ``found`` tells which are there."""
+    names = list(shelf.kinds)[1:]
+    out = {c: np.zeros(len(sorted_keys), shelf.kinds[c]) for c in names}
     out["found"] = np.zeros(len(sorted_keys), bool)
     if not len(sorted_keys):
         return out
-    tops, at = bucket_edges(sorted_keys, bits)
+    tops, at = bucket_edges(sorted_keys, shelf.bits)
     for b, lo, hi in zip(tops.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if not has(filled, b):
+        arrays = shelf.get(b)
+        if arrays is None:
             continue
-        keys, want = Column.get(f"{root}/{b}.key", U64), sorted_keys[lo:hi]
+        keys, want = arrays[0], sorted_keys[lo:hi]
         i = np.searchsorted(keys, want)
         i[i == len(keys)] = 0
         hit = np.asarray(keys[i]) == want
         out["found"][lo:hi] = hit
-        for c, kind in columns.items():
-            out[c][lo:hi][hit] = Column.get(f"{root}/{b}.{c}", kind)[i[hit]]
+        for c, column in zip(names, arrays[1:], strict=True):
+            out[c][lo:hi][hit] = column[i[hit]]
     return out

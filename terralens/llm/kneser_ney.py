@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, mix64, pack, put_file, row_slices, scratch, stash, text_bytes, unpack, words
+from terralens.llm.common import U64, mix64, pack, row_slices, scratch, stash, text_bytes, unpack, words
 
 #: Words are told apart by the upper 48 bits of their hash.
 _HIGH = U64(0xFFFFFFFFFFFF0000)
@@ -30,7 +30,7 @@ TOKENS = 1_500_000
 BUCKET_BYTES = 16 << 20
 #: Buckets that a word fills by itself before it is spread, and sampled tokens per bucket.
 SPREAD, SAMPLED = 2, 64
-WORD_COLUMNS = {"c": np.int64, "nc": np.int64, "cx": np.int64, "g": np.float64}
+WORD_COLUMNS = {"key": U64, "c": np.int64, "nc": np.int64, "cx": np.int64, "g": np.float64}
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 _ROWS_DDL = "kind int, bucket int, blob binary"
 #: Kinds of rows that the first reducers send on.
@@ -210,10 +210,10 @@ class Packed:
 
 
 class Store:
-    """The packed arrays below a root, a file per bucket."""
+    """Packed arrays with ``m`` numbers an entry, one for each bucket of a shelf."""
 
-    def __init__(self, root: str, filled: np.ndarray, m: int):
-        self.root, self.filled, self.m = root, filled, m
+    def __init__(self, shelf: hx.Shelf, m: int):
+        self.shelf, self.m = shelf, m
 
     def find(self, keys: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         there, rows = np.zeros(len(keys), bool), np.zeros((len(keys), self.m), np.int64)
@@ -221,9 +221,9 @@ class Store:
         at = np.append(_runs(buckets[order]), len(order))
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             some = order[lo:hi]
-            b = int(buckets[some[0]])
-            if hx.has(self.filled, b):
-                there[some], rows[some] = Packed(hx.Column.get(f"{self.root}/{b}", np.uint8)).find(keys[some])
+            arrays = self.shelf.get(int(buckets[some[0]]))
+            if arrays is not None:
+                there[some], rows[some] = Packed(arrays[0]).find(keys[some])
         return there, rows
 
 
@@ -390,16 +390,16 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = hx.bucket_bits(size, BUCKET_BYTES)
     places = hot_places(texts, size, bits, spread)
-    root = {k: scratch(spark, k) for k in ("triples", "contexts", "pairs", "hot-contexts", "hot-pairs", "words")}
+    shelf = {k: hx.Shelf(scratch(spark, k), bits, {"packed": np.uint8}) for k in ("triples", "contexts", "pairs", "hot-contexts", "hot-pairs")}
+    words_shelf = hx.Shelf(scratch(spark, "words"), bits, WORD_COLUMNS)
 
     def reduce_triples(batches):
-        done: dict[str, list] = {"triples": [], "contexts": [], "pairs": []}
+        out = {k: shelf[k].writer() for k in ("triples", "contexts", "pairs")}
         seen = {"triples": np.zeros(4, np.int64), "pairs": np.zeros(4, np.int64)}
 
         def keep(name, bucket, keys, columns):
             if len(keys):
-                put_file(f"{root[name]}/{bucket}", Packed.build(keys, columns))
-                done[name].append(bucket)
+                out[name].add(bucket, Packed.build(keys, columns))
 
         for bucket, blobs in hx.by_bucket(batches):
             parts_ = [_unpack_triples(blobs.pop()) for _ in range(len(blobs))]
@@ -442,12 +442,12 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
                     seen["pairs"] += _counts_of_counts(nc)
                     _of_pairs(rows, a, b, nc, places)
             yield _batch(rows)
-        told = [np.concatenate((seen["triples"], seen["pairs"])), *(np.array(done[k], np.int64) for k in ("triples", "contexts", "pairs"))]
+        told = [np.concatenate((seen["triples"], seen["pairs"])), *(np.array(w.close(), np.int64) for w in out.values())]
         yield _batch([(_STATS, i, x.tobytes()) for i, x in enumerate(told)])
 
     def reduce_hot(batches):
         """Contexts and pairs that several buckets hold a part of."""
-        done: dict[int, list] = {_CONTEXTS: [], _PAIRS: []}
+        out = {k: shelf[k].writer() for k in ("hot-contexts", "hot-pairs")}
         seen, now, rows = np.zeros(4, np.int64), None, {_CONTEXTS: [], _PAIRS: []}
 
         def close():
@@ -455,15 +455,13 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
             if rows[_CONTEXTS]:
                 got = [unpack(x, *[np.int64] * 4) for x in rows[_CONTEXTS]]
                 key, *cols = _sums(*(np.concatenate([g[i] for g in got]) for i in range(5)))
-                put_file(f"{root['hot-contexts']}/{now}", Packed.build(key, cols))
-                done[_CONTEXTS].append(now)
+                out["hot-contexts"].add(now, Packed.build(key, cols))
             if rows[_PAIRS]:
                 key, nc, v, w = (np.concatenate(x) for x in zip(*(unpack(x, *[np.int64] * 3) for x in rows[_PAIRS]), strict=True))
                 order = np.argsort(key)
                 at = _runs(key[order])
                 nc, first = np.add.reduceat(nc[order], at), order[at]
-                put_file(f"{root['hot-pairs']}/{now}", Packed.build(key[first], [nc]))
-                done[_PAIRS].append(now)
+                out["hot-pairs"].add(now, Packed.build(key[first], [nc]))
                 seen[:] += _counts_of_counts(nc)
                 _of_pairs(sent, v[first].view(U64), w[first].view(U64), nc, places)
             return sent
@@ -478,7 +476,7 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
                 rows[kind].append(blob)
         if now is not None and (sent := close()):
             yield _batch(sent)
-        told = [seen, np.array(done[_CONTEXTS], np.int64), np.array(done[_PAIRS], np.int64)]
+        told = [seen, *(np.array(w.close(), np.int64) for w in out.values())]
         yield _batch([(_STATS, i, x.tobytes()) for i, x in enumerate(told)])
 
     def told(table):
@@ -488,17 +486,17 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
             out.setdefault(r["bucket"], []).append(np.frombuffer(r["blob"], np.int64))
         return out
 
-    def filled(lists):
-        return hx.bitmap(np.concatenate([np.zeros(0, np.int64), *lists]), bits)
+    def store(name, lists, m):
+        return Store(shelf[name].filled(np.concatenate([np.zeros(0, np.int64), *lists])), m)
 
     blobs = texts.mapInArrow(lambda it: _triple_blobs(it, places), hx.BLOBS_DDL)
-    reduced = stash(hx.gathered(blobs, parts).mapInArrow(reduce_triples, _ROWS_DDL), "triple-stats")
+    reduced = stash(hx.gathered(blobs, parts, bits).mapInArrow(reduce_triples, _ROWS_DDL), "triple-stats")
     told_one = told(reduced)
     seen = sum(told_one.get(0, []), np.zeros(8, np.int64))
     pair_seen, stats, hot_filled = seen[4:].copy(), reduced, [[], []]
     if len(places.words):
         part = reduced.filter(F.col("kind").isin(_PAIRS, _CONTEXTS))
-        merged = stash(hx.gathered(part, parts).mapInArrow(reduce_hot, _ROWS_DDL), "hot-stats")
+        merged = stash(hx.gathered(part, parts, bits).mapInArrow(reduce_hot, _ROWS_DDL), "hot-stats")
         told_two = told(merged)
         pair_seen += sum(told_two.get(0, []), np.zeros(4, np.int64))
         hot_filled = [told_two.get(1, []), told_two.get(2, [])]
@@ -506,7 +504,7 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
     triple_d, pair_d = discounts(seen[:4].tolist()), discounts(pair_seen.tolist())
 
     def reduce_words(batches):
-        now, rows, done = None, {_WORDS: [], _MIDDLES: []}, []
+        out, now, rows = words_shelf.writer(), None, {_WORDS: [], _MIDDLES: []}
         counts = np.zeros(8, np.int64)
 
         def close():
@@ -520,9 +518,7 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
             cols[:2, np.searchsorted(key, wk)] = c, nc
             cols[2:, np.searchsorted(key, mk)] = mid
             g = (pair_d[0] * cols[3] + pair_d[1] * cols[4] + pair_d[2] * cols[5]) / np.maximum(cols[2], 1)
-            for name, col in (("key", key), ("c", cols[0]), ("nc", cols[1]), ("cx", cols[2]), ("g", g)):
-                put_file(f"{root['words']}/{now}.{name}", np.ascontiguousarray(col))
-            done.append(now)
+            out.add(now, key, cols[0], cols[1], cols[2], g)
             counts[:4] += [(cols[0] > 0).sum(), cols[0].sum(), cols[1].sum(), 0]
             counts[4:] += _counts_of_counts(cols[1])
 
@@ -535,9 +531,9 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
                 rows[kind].append(blob)
         if now is not None:
             close()
-        yield _batch([(_STATS, 0, counts.tobytes()), (_STATS, 1, np.array(done, np.int64).tobytes())])
+        yield _batch([(_STATS, 0, counts.tobytes()), (_STATS, 1, np.array(out.close(), np.int64).tobytes())])
 
-    dealt = hx.gathered(stats.filter(F.col("kind").isin(_WORDS, _MIDDLES)), parts)
+    dealt = hx.gathered(stats.filter(F.col("kind").isin(_WORDS, _MIDDLES)), parts, bits)
     last: dict[int, list] = {0: [], 1: []}
     for r in dealt.mapInArrow(reduce_words, _ROWS_DDL).collect():  # two rows a task
         last[r["bucket"]].append(np.frombuffer(r["blob"], np.int64))
@@ -545,9 +541,9 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
     V, N, S = (int(x) for x in total[:3])
     return {
         "places": places, "N": N, "V": V, "S": S, "triple_d": triple_d, "pair_d": pair_d, "word_d": discounts(total[4:].tolist()), "m": total[4:].tolist(),
-        "triples": Store(root["triples"], filled(told_one.get(1, [])), 1), "contexts": Store(root["contexts"], filled(told_one.get(2, [])), 4), "pairs": Store(root["pairs"], filled(told_one.get(3, [])), 1),
-        "hot-contexts": Store(root["hot-contexts"], filled(hot_filled[0]), 4), "hot-pairs": Store(root["hot-pairs"], filled(hot_filled[1]), 1),
-        "words": (root["words"], bits, filled(last[1])),
+        "triples": store("triples", told_one.get(1, []), 1), "contexts": store("contexts", told_one.get(2, []), 4), "pairs": store("pairs", told_one.get(3, []), 1),
+        "hot-contexts": store("hot-contexts", hot_filled[0], 4), "hot-pairs": store("hot-pairs", hot_filled[1], 1),
+        "words": words_shelf.filled(np.concatenate([np.zeros(0, np.int64), *last[1]])),
     }
 
 
@@ -577,7 +573,7 @@ class Scorer:
         m, places = self.m, self.places
         u, v, w, first = tokens(data, offs)
         distinct, back = np.unique(np.append(w, BOS), return_inverse=True)
-        known = hx.find(*m["words"], distinct, WORD_COLUMNS)
+        known = hx.find(m["words"], distinct)
         back, bos = back[:-1], back[-1]
         one_back = np.full(len(w), bos)
         one_back[1:] = back[:-1]

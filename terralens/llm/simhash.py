@@ -483,7 +483,7 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_c
     def keys(batches):
         yield from hx.spool((mix64(b.column(0).to_numpy().view(U64)) for b in batches), bits, 1)
 
-    filled = hx.written(gone.mapInArrow(keys, hx.BLOBS_DDL), dead, 1, bits)
+    dropped = hx.written(gone.mapInArrow(keys, hx.BLOBS_DDL), dead, 1, bits)
     at = numbered.columns.index(rid)
 
     def run(batches):
@@ -491,7 +491,7 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_c
             key = mix64(b.column(at).to_numpy().view(U64))
             order = np.argsort(key)
             there = np.zeros(len(key), bool)
-            there[order] = hx.find(dead, bits, filled, key[order], {})["found"]
+            there[order] = hx.find(dropped, key[order])["found"]
             kept = b.filter(pa.array(~there))
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], names=[n for i, n in enumerate(kept.schema.names) if i != at])
         hx.Column.close(dead)

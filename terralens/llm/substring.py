@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, mix64, pack, powers, put_file, row_slices, scratch, span_hashes, text_bytes, unpack, words
+from terralens.llm.common import U64, mix64, pack, powers, row_slices, scratch, span_hashes, text_bytes, unpack, words
 
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 #: A place is a block's number times 2**24 plus a word's offset.
@@ -87,7 +87,7 @@ class Passages:
         if not self.count:
             return np.zeros(0, np.int64)
         keys, back = np.unique(self.anchors(), return_inverse=True)
-        kept = hx.find(*index, keys, {})["found"][back]
+        kept = hx.find(index, keys)["found"][back]
         if not kept.any():
             return np.zeros(0, np.int64)
         grams = np.full(len(self.grams), _MAX, U64)
@@ -187,8 +187,7 @@ def _spool_places(pairs, bits: int):
 
 
 def duplicate_index(df: DataFrame, text_col: str = "text", min_words: int = 35):
-    """The two indexes of a table, each as (root, bits, filled buckets): repeated
-    anchors, and repeated passages with two places."""
+    """The two indexes of a table: repeated anchors, and repeated passages with two places."""
     spark = df.sparkSession
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -197,8 +196,7 @@ def duplicate_index(df: DataFrame, text_col: str = "text", min_words: int = 35):
     def anchors(batches):
         yield from hx.spool((Passages(d, o, min_words).anchors() for _, _, _, d, o in _slices(batches)), bits, 2)
 
-    root = scratch(spark, "anchors")
-    first = root, bits, hx.written(texts.mapInArrow(anchors, hx.BLOBS_DDL), root, 2, bits)
+    first = hx.written(texts.mapInArrow(anchors, hx.BLOBS_DDL), scratch(spark, "anchors"), 2, bits)
 
     def passages(batches):
         def each():
@@ -209,18 +207,14 @@ def duplicate_index(df: DataFrame, text_col: str = "text", min_words: int = 35):
 
         yield from _spool_places(each(), bits)
 
-    out = scratch(spark, "passages")
-
-    def write(bucket, blobs):
+    def two_places(blobs):
         parts = [unpack(x, U64) for x in blobs]
         keys, places = _first_two(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), True)
         at = np.flatnonzero(keys[1:] == keys[:-1])
-        for name, column in (("key", keys[at]), ("a", places[at]), ("b", places[at + 1])):
-            if len(at):
-                put_file(f"{out}/{bucket}.{name}", column)
-        return len(at) > 0
+        return keys[at], places[at], places[at + 1]
 
-    return first, (out, bits, hx.write_buckets(texts.mapInArrow(passages, hx.BLOBS_DDL), write, bits))
+    shelf = hx.Shelf(scratch(spark, "passages"), bits, {"key": U64, "a": U64, "b": U64})
+    return first, hx.write_buckets(texts.mapInArrow(passages, hx.BLOBS_DDL), shelf, two_places)
 
 
 def _parse(batches, index, min_words, emit):
@@ -231,7 +225,7 @@ def _parse(batches, index, min_words, emit):
         p = Passages(data, offs, min_words)
         at = p.candidates(first)
         keys, back = np.unique(p.passages(at), return_inverse=True)
-        known = hx.find(*second, keys, {"a": U64, "b": U64})
+        known = hx.find(second, keys)
         there = known["found"][back]
         at, back = at[there], back[there]
         spans = factors(at, p.places(at), known["a"][back], known["b"][back], min_words)
@@ -247,8 +241,8 @@ def _parse(batches, index, min_words, emit):
             mine = slice(edges[i], edges[i + 1])
             done.append(emit(data[o : offs[i + 1]], p.starts[a:b] - o, p.ends[a:b] - o, covered[a:b], (spans[0][mine] - a, *(x[mine] for x in spans[1:]))))
         yield batch.slice(lo, hi - lo), done
-    for root, *_ in index:
-        hx.Column.close(root)
+    for shelf in index:
+        hx.Column.close(shelf.root)
 
 
 def _spans(covered: np.ndarray):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm.common import U64, filesystem, put_file, scratch, stash
-from terralens.llm.hashindex import Column, bitmap, bucket_bits, bucket_edges, has
+from terralens.llm.hashindex import Shelf, bucket_bits, bucket_edges
 
 BLOCK_LINES = 256
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,24 +89,26 @@ class Repeats:
     """The digests that occur twice or more, with id and URL of the record that holds
     the payload, as sorted arrays per bucket of digests, which writers map and search."""
 
-    def __init__(self, root: str, bits: int, filled: np.ndarray):
-        self.root, self.bits, self.filled = root, bits, filled
+    KINDS = {"key": U64, "sha": np.uint8, "id": np.int64, "at": np.int64, "url": np.uint8}
+
+    def __init__(self, shelf: Shelf):
+        self.shelf = shelf
 
     def of(self, shas: np.ndarray) -> list[tuple | None]:
         """(id, URL), or nothing, of each of the 20-byte digests (rows of an array)."""
         out: list = [None] * len(shas)
         keys = sha_key(shas)
         order = np.argsort(keys, kind="stable")
-        tops, at = bucket_edges(keys[order], self.bits) if len(keys) else ([], [0])
+        tops, at = bucket_edges(keys[order], self.shelf.bits) if len(keys) else ([], [0])
         for b, lo, hi in zip(tops, at[:-1], at[1:], strict=True):
-            if not has(self.filled, b):
+            arrays = self.shelf.get(int(b))
+            if arrays is None:
                 continue
-            column = lambda name, kind: Column.get(f"{self.root}/{b}.{name}", kind)  # noqa: B023, E731
-            full, ids, places, urls = column("sha", np.uint8).reshape(-1, 20), column("id", np.int64), column("at", np.int64), column("url", np.uint8)
+            known, full, ids, places, urls = arrays
+            full = full.reshape(-1, 20)
             rows = order[lo:hi]
             # a key is the digest's first 8 bytes: what shares them is told apart by all 20
-            first = np.searchsorted(column("key", U64), keys[rows], "left")
-            last = np.searchsorted(column("key", U64), keys[rows], "right")
+            first, last = (np.searchsorted(known, keys[rows], side) for side in ("left", "right"))
             for i, j, k in zip(rows.tolist(), first.tolist(), last.tolist(), strict=True):
                 while j < k and (full[j] != shas[i]).any():
                     j += 1
@@ -132,18 +134,15 @@ def write_repeats(keyed: DataFrame, root: str) -> Repeats:
     top = F.conv(F.substring("sha", 1, 8), 16, 10).cast("long")
     dealt = firsts.select(F.shiftright(top, 32 - bits).cast("int").alias("bucket"), F.unhex("sha").alias("sha"), "first.id", F.coalesce("first.url", F.lit("")).alias("url"))
 
+    shelf = Shelf(root, bits, Repeats.KINDS)
+
     def run(batches):
-        now, rows, done = None, [], []
+        out, now, rows = shelf.writer(), None, []
 
         def close():
             shas = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 20)
             urls = [r[2].encode() for r in rows]
-            put_file(f"{root}/{now}.key", sha_key(shas))
-            put_file(f"{root}/{now}.sha", shas.tobytes())
-            put_file(f"{root}/{now}.id", np.array([r[1] for r in rows], np.int64))
-            put_file(f"{root}/{now}.at", np.cumsum([0, *map(len, urls)], dtype=np.int64))
-            put_file(f"{root}/{now}.url", b"".join(urls))
-            done.append(now)
+            out.add(now, sha_key(shas), shas, [r[1] for r in rows], np.cumsum([0, *map(len, urls)]), b"".join(urls))
 
         for b in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -154,11 +153,12 @@ def write_repeats(keyed: DataFrame, root: str) -> Repeats:
                 rows.append(row)
         if rows:
             close()
-        yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(done, np.int32).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(out.close(), np.int32).tobytes()], pa.binary())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "sha").mapInArrow(run, "done binary").collect()
-    return Repeats(root, bits, bitmap(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in got)]), bits))
+    dealt = dealt.repartition(parts, F.shiftright("bucket", shelf.shift)).sortWithinPartitions("bucket", "sha")
+    got = dealt.mapInArrow(run, "done binary").collect()
+    return Repeats(shelf.filled(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in got)])))
 
 
 def write_archives(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

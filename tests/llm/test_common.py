@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,19 +47,33 @@ def test_row_slices():
     assert list(C.row_slices(np.array([0]))) == [] and list(C.row_slices(np.array([0, 0, 0]), 6)) == [(0, 2)]
 
 
-def test_index_files(tmp_path):
+@pytest.mark.parametrize("part_bits", [0, 2, 14])
+def test_shelves(tmp_path, monkeypatch, part_bits):
+    """Any number of buckets a file; buckets and whole files that are not there."""
+    monkeypatch.setattr(H, "PART_BITS", part_bits)
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 2**63, 5000).astype(U64) * U64(2))
-    root, bits = f"file://{tmp_path}/x", 4
+    bits = 4
+    keys = keys[~np.isin(keys >> U64(60), [3, 8, 9, 10, 11])]
+    shelf = H.Shelf(f"file://{tmp_path}/x", bits, {"key": U64, "n": np.int64, "raw": np.uint8})
     tops, at = H.bucket_edges(keys, bits)
+    out = shelf.writer()
     for t, a, b in zip(tops.tolist(), at[:-1], at[1:]):
-        C.put_file(f"{root}/{t}.key", keys[a:b])
-        C.put_file(f"{root}/{t}.n", np.arange(a, b, dtype=np.int64))
-    want = np.sort(np.concatenate((keys[::7], keys[::11] + U64(1))))
-    got = H.find(root, bits, H.bitmap(tops, bits), want, {"n": np.int64})
+        out.add(t, keys[a:b], np.arange(a, b), b"x" * (t + 1))
+    parts = out.close()
+    assert len(list((tmp_path / "x").iterdir())) == len(parts) == {0: 1, 2: 3, 14: 11}[part_bits]
+    shelf.filled(parts)
+    assert shelf.get(3) is None and shelf.get(9) is None and shelf.get(4)[2].tobytes() == b"x" * 5
+    shelf.kinds = {"key": U64, "n": np.int64, "raw": np.uint8}
+    want = np.sort(np.concatenate((keys[::7], keys[::11] + U64(1), (np.arange(16, dtype=U64) << U64(60)) + U64(5))))
+    narrow = H.Shelf(f"file://{tmp_path}/y", bits, {"key": U64, "n": np.int64})
+    out = narrow.writer()
+    for t, a, b in zip(tops.tolist(), at[:-1], at[1:]):
+        out.add(t, keys[a:b], np.arange(a, b))
+    got = H.find(narrow.filled(out.close()), want)
     inside = np.isin(want, keys)
     assert (got["found"] == inside).all() and (keys[got["n"][inside]] == want[inside]).all()
-    assert not H.find(root, bits, H.bitmap([], bits), want, {})["found"].any()
+    assert not H.find(H.Shelf(f"file://{tmp_path}/z", bits, {"key": U64}).filled([]), want)["found"].any()
 
 
 def test_spool_folds_and_caps():
@@ -96,8 +111,6 @@ def test_scratch_is_dropped(spark):
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
-    import pytest
-
     class Conf:
         def get(self, key, default=None):
             return default

@@ -69,17 +69,16 @@ def test_one_payload_of_many_pages_and_no_payload_is_shuffled(spark, tmp_path):
 
 def test_digests_that_share_a_key(spark, tmp_path):
     import numpy as np
-    from terralens.llm.common import put_file
-    from terralens.llm.hashindex import bitmap
 
     shas = np.zeros((3, 20), np.uint8)
     shas[1, 19], shas[2, 10] = 1, 1
-    root = f"file://{tmp_path}"
-    for name, data in (("key", A.sha_key(shas)), ("sha", shas.tobytes()), ("id", np.array([7, 8, 9])), ("at", np.array([0, 1, 2, 3])), ("url", b"abc")):
-        put_file(f"{root}/0.{name}", data)
+    shelf = A.Shelf(f"file://{tmp_path}/r", 5, A.Repeats.KINDS)
+    out = shelf.writer()
+    out.add(0, A.sha_key(shas), shas, [7, 8, 9], [0, 1, 2, 3], b"abc")
+    shelf.filled(out.close())
     other = shas[:1].copy()
     other[0, 15] = 9
-    assert A.Repeats(root, 5, bitmap([0], 5)).of(np.concatenate((shas[::-1], other))) == [(9, "c"), (8, "b"), (7, "a"), None]
+    assert A.Repeats(shelf).of(np.concatenate((shas[::-1], other))) == [(9, "c"), (8, "b"), (7, "a"), None]
 
 
 def test_empty_table(spark):

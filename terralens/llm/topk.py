@@ -56,21 +56,25 @@ def _clean(batches):
 
 
 def _writer(root: str, size: int):
-    """Writes the sorted rows of a partition as files of arrays with a directory of
-    buckets, and returns a row per bucket."""
+    """Writes the sorted rows of a partition as one file of arrays with a directory of
+    its buckets, and returns a row per bucket."""
     def run(batches):
         from pyspark import TaskContext
 
-        shard, buckets, held = f"s{TaskContext.get().partitionId():06d}", [], []
+        # named by the attempt, so that a file never stands beside another attempt's directory
+        shard, buckets, held = f"s{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", [], []
+        fsys, path = filesystem(f"{root}/{shard}.arrays")
+        fsys.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        out, at = None, 0
 
         def close():
+            nonlocal out, at
+            out = out or fsys.open_output_stream(path, compression=None)
             ids, norms = np.array([h[0] for h in held], np.int64), np.array([h[2] for h in held], np.float64)
-            name = f"{shard}-{len(buckets)}"
-            put_file(f"{root}/{name}.ids", ids)
-            put_file(f"{root}/{name}.norms", norms)
-            if held[0][1]:
-                put_file(f"{root}/{name}.vecs", b"".join(h[3] for h in held))
-            buckets.append([name, held[0][1], len(held), norms[0], norms[-1]])
+            buckets.append([shard, held[0][1], len(held), norms[0], norms[-1], at])
+            for raw in (ids.tobytes(), norms.tobytes(), b"".join(h[3] for h in held)):
+                out.write(raw)
+                at += len(raw)
             held.clear()
 
         for b in batches:
@@ -81,6 +85,7 @@ def _writer(root: str, size: int):
         if held:
             close()
         if buckets:
+            out.close()
             put_file(f"{root}/{shard}.json", json.dumps(buckets).encode())
             cols = [[shard] * len(buckets), range(len(buckets)), *([b[i] for b in buckets] for i in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _BUCKETS.types, strict=True)], schema=_BUCKETS)
@@ -95,10 +100,9 @@ def _directory(root, shard):
 
 
 def _load(root, entry):
-    name, dim, n = entry[:3]
-    ids, norms = hx.Column.get(f"{root}/{name}.ids", np.int64), hx.Column.get(f"{root}/{name}.norms", np.float64)
-    vecs = hx.Column.get(f"{root}/{name}.vecs", np.float64).reshape(n, dim) if dim else np.zeros((n, 0))
-    return ids, norms, vecs
+    shard, dim, n, _, _, at = entry
+    raw = hx.Column.get(f"{root}/{shard}.arrays", np.uint8)[at : at + 8 * n * (2 + dim)]
+    return raw[: 8 * n].view(np.int64), raw[8 * n : 16 * n].view(np.float64), raw[16 * n :].view(np.float64).reshape(n, dim)
 
 
 def floor_of(score: int) -> float:

@@ -13,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
+from array import array
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -138,23 +140,22 @@ class BytePairCodec:
                 continue
             plain = piece.isascii() or not (self.beyond_latin(piece) and self.has_young(piece))
             found = self.split(piece) if plain else self.split_careful(piece)
-            known, extend = self.known, out.extend
-            for w in found:
-                try:
-                    extend(known[w])
-                except KeyError:
-                    ids = self.encode_word(w)
-                    if len(w) <= SHORT:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        known[w] = ids
-                    extend(ids)
+            known = self.known
+            missing = set(found).difference(known)
+            if len(known) + len(missing) > CACHE_WORDS:
+                known.clear()
+                missing = set(found)
+            for w in missing:
+                known[w] = self.encode_word(w)
+            out.extend(chain.from_iterable(map(known.__getitem__, found)))
+            for w in missing:
+                if len(w) > SHORT:
+                    del known[w]
         return out
 
     def decode(self, ids) -> str:
         """Text of a list of ids; bytes that are no UTF-8 become U+FFFD."""
-        table = self.token_bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _CODECS: dict[str, BytePairCodec] = {}
@@ -204,7 +205,9 @@ def token_digests(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     """As ``encode_decode``, with SHA-256 digests in place of ids and text."""
     def row(codec, text):
         ids = codec.encode(text)
-        little = np.array(ids, "<u4").tobytes()
+        little = array("I", ids)
+        if sys.byteorder == "big":
+            little.byteswap()
         return len(ids), hashlib.sha256(little).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralens.llm.common import released
+
 #: Longest word, in bytes, for the rescanned array.
 SHORT = 128
 #: Most words a worker remembers; beyond that it starts anew.
@@ -185,7 +187,7 @@ def _mapped(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, row,
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
                     done, size = [], 0
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), ddl).withColumnRenamed("id", id_col)
 
 
 def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,6 +97,32 @@ def put_file(uri: str, data) -> None:
     fsys.move(tmp, path)
 
 
+# --------------------------------------------------------------------------
+# memory of workers
+
+
+def let_go() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it holds
+        pass
+
+
+def released(run):
+    """``run`` over the batches of a task; then what it has freed goes back, since the
+    worker stays, idle or for another task, beside those that do the next work."""
+
+    def whole(batches):
+        yield from run(batches)
+        let_go()
+
+    return whole
+
+
 # --------------------------------------------------------------------------
 # bytes, words, hashes
 

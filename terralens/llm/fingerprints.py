@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralens.llm.common import released
+
 WINDOW = 16
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 16, 40, 160
 STRICT, LOOSE = np.uint16(0xFE00), np.uint16(0xE000)
@@ -200,7 +202,7 @@ def chunk_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     body = keyed.select("bucket", F.lit(False).alias("head"), "id", "text")
     rows = body.unionByName(head_rows).repartition(max(buckets, len(heads)), "bucket")
     rows = rows.sortWithinPartitions("bucket", "head", F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return rows.mapInArrow(_pairs, SCHEMA).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(_pairs), SCHEMA).withColumnRenamed("id", id_col)
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from terralens.llm.common import U64, filesystem, pack, unpack
+from terralens.llm.common import U64, filesystem, pack, released, unpack
 
 BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 BLOBS_DDL = "bucket int, blob binary"
@@ -196,7 +196,7 @@ def write_buckets(blob_df, shelf: Shelf, one) -> Shelf:
         yield pa.RecordBatch.from_pydict({"done": pa.array([np.array(out.close(), np.int32).tobytes()], pa.binary())})
 
     parts = int(blob_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = gathered(blob_df, parts, shelf.bits).mapInArrow(write, "done binary").collect()
+    rows = gathered(blob_df, parts, shelf.bits).mapInArrow(released(write), "done binary").collect()
     return shelf.filled(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in rows)]))
 
 

@@ -19,15 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, mix64, pack, row_slices, scratch, stash, text_bytes, unpack, words
+from terralens.llm.common import U64, mix64, pack, released, row_slices, scratch, stash, text_bytes, unpack, words
 
 #: Words are told apart by the upper 48 bits of their hash.
 _HIGH = U64(0xFFFFFFFFFFFF0000)
 END, BOS = U64(0x8C3A5D1E77F20000), U64(0x3F19C2E4A6D80000)
 #: Tokens that a mapper folds at once; their numbers have to fit 21 bits.
-TOKENS = 1_500_000
+TOKENS = 1_200_000
 #: Bytes of text whose trigrams make a bucket.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text that are tokenised at once.
+SLICE = 1 << 20
 #: Buckets that a word fills by itself before it is spread, and sampled tokens per bucket.
 SPREAD, SAMPLED = 2, 64
 WORD_COLUMNS = {"key": U64, "c": np.int64, "nc": np.int64, "cx": np.int64, "g": np.float64}
@@ -305,7 +307,7 @@ def _triple_blobs(batches, places: Places):
 
     for batch in batches:
         data, offs = text_bytes(batch.column(0))
-        for lo, hi in row_slices(offs):
+        for lo, hi in row_slices(offs, SLICE):
             u, v, w, _ = tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             for i in range(0, len(w), TOKENS):  # a very long row by itself
                 part = slice(i, i + TOKENS)
@@ -330,13 +332,13 @@ def hot_places(texts: DataFrame, size: int, bits: int, spread: float = SPREAD) -
     def run(batches):
         for batch in batches:
             data, offs = text_bytes(batch.column(0))
-            for lo, hi in row_slices(offs):
+            for lo, hi in row_slices(offs, SLICE):
                 u, v, _, _ = tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 (a, na), (b, nb) = hx.fold(v), hx.fold(pair_key(u, v))
                 kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(b)])
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((a, b)).view(np.int64)), pa.array(np.concatenate((na, nb)))], names=["kind", "key", "n"])
 
-    counted = sample.mapInArrow(run, "kind int, key long, n long")
+    counted = sample.mapInArrow(released(run), "kind int, key long, n long")
     total = F.sum(F.when(F.col("kind") == 0, F.col("n")))
     seen = counted.agg(total.alias("n")).first()["n"] or 0
     least = max(8.0, spread * seen / (1 << bits))
@@ -489,14 +491,14 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
     def store(name, lists, m):
         return Store(shelf[name].filled(np.concatenate([np.zeros(0, np.int64), *lists])), m)
 
-    blobs = texts.mapInArrow(lambda it: _triple_blobs(it, places), hx.BLOBS_DDL)
-    reduced = stash(hx.gathered(blobs, parts, bits).mapInArrow(reduce_triples, _ROWS_DDL), "triple-stats")
+    blobs = texts.mapInArrow(released(lambda it: _triple_blobs(it, places)), hx.BLOBS_DDL)
+    reduced = stash(hx.gathered(blobs, parts, bits).mapInArrow(released(reduce_triples), _ROWS_DDL), "triple-stats")
     told_one = told(reduced)
     seen = sum(told_one.get(0, []), np.zeros(8, np.int64))
     pair_seen, stats, hot_filled = seen[4:].copy(), reduced, [[], []]
     if len(places.words):
         part = reduced.filter(F.col("kind").isin(_PAIRS, _CONTEXTS))
-        merged = stash(hx.gathered(part, parts, bits).mapInArrow(reduce_hot, _ROWS_DDL), "hot-stats")
+        merged = stash(hx.gathered(part, parts, bits).mapInArrow(released(reduce_hot), _ROWS_DDL), "hot-stats")
         told_two = told(merged)
         pair_seen += sum(told_two.get(0, []), np.zeros(4, np.int64))
         hot_filled = [told_two.get(1, []), told_two.get(2, [])]
@@ -535,7 +537,7 @@ def train(df: DataFrame, text_col: str = "text", spread: float = SPREAD) -> dict
 
     dealt = hx.gathered(stats.filter(F.col("kind").isin(_WORDS, _MIDDLES)), parts, bits)
     last: dict[int, list] = {0: [], 1: []}
-    for r in dealt.mapInArrow(reduce_words, _ROWS_DDL).collect():  # two rows a task
+    for r in dealt.mapInArrow(released(reduce_words), _ROWS_DDL).collect():  # two rows a task
         last[r["bucket"]].append(np.frombuffer(r["blob"], np.int64))
     total = sum(last[0], np.zeros(8, np.int64))
     V, N, S = (int(x) for x in total[:3])
@@ -626,14 +628,14 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
         scorer = Scorer(model)
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
-            for lo, hi in row_slices(offs):
+            for lo, hi in row_slices(offs, SLICE):
                 n, known, base, own = scorer.score(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 train = np.full(hi - lo, model["N"], np.int64)
                 cols = [batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in (n.astype(np.int64), known, train, base, own))]
                 yield pa.RecordBatch.from_arrays(cols, schema=_SCORE)
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = src.mapInArrow(released(run), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, drop_path, filesystem, mix64, scratch, stash
+from terralens.llm.common import U64, drop_path, filesystem, mix64, released, scratch, stash
 from terralens.llm.graph import components
 
 # --------------------------------------------------------------------------
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: st
             fps = np.array([simhash(shingle_hashes(x.as_py(), k)) for x in b.column(1)], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "id long, fp long")
 
 
 # --------------------------------------------------------------------------
@@ -253,7 +253,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, block_size: int = 512,
     inner = placed.filter("salts > 1").withColumn("other", F.explode(F.sequence(F.col("salt"), F.col("salts") - 1))).filter("other > salt")
     rows = placed.select("block", "salt", F.lit(0).alias("guest"), "fp").unionByName(inner.select("block", F.col("other").alias("salt"), F.lit(1).alias("guest"), "fp"))
     dealt = rows.repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "guest")
-    return dealt.mapInArrow(lambda it: _block_links(it, radius), "a long, b long")
+    return dealt.mapInArrow(released(lambda it: _block_links(it, radius)), "a long, b long")
 
 
 def near_fingerprints(df: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,7 +345,7 @@ def shingle_sets(df: DataFrame, root: str, k: int, rid_col: str, id_col: str, te
             fsys.move(tmp, path)
 
     src = df.select(F.col(rid_col).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, _SETS_DDL)
+    return src.mapInArrow(released(run), _SETS_DDL)
 
 
 def _linked(root: str, threshold: float):
@@ -453,7 +453,7 @@ def near_duplicate_groups(df: DataFrame, rid_col: str, k: int = 5, threshold: fl
     guests = placed.filter("salts > 1").withColumn("other", F.explode(F.sequence(F.col("salt"), F.col("salts") - 1))).filter("other > salt")
     rows_ = placed.select("key", "salt", F.lit(0).alias("guest"), *row).unionByName(guests.select("key", F.col("other").alias("salt"), F.lit(1).alias("guest"), *row))
     dealt = rows_.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "guest", "rid")
-    found = components(dealt.mapInArrow(_linked(root, threshold), "a long, b long"))  # writes them, so the sets can go
+    found = components(dealt.mapInArrow(released(_linked(root, threshold)), "a long, b long"))  # writes them, so the sets can go
     drop_path(spark, root)
 
     classes = reps.join(found, reps.rid == found.node, "left").select("content", F.coalesce("root", "rid").alias("class"))
@@ -483,7 +483,7 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_c
     def keys(batches):
         yield from hx.spool((mix64(b.column(0).to_numpy().view(U64)) for b in batches), bits, 1)
 
-    dropped = hx.written(gone.mapInArrow(keys, hx.BLOBS_DDL), dead, 1, bits)
+    dropped = hx.written(gone.mapInArrow(released(keys), hx.BLOBS_DDL), dead, 1, bits)
     at = numbered.columns.index(rid)
 
     def run(batches):
@@ -496,4 +496,4 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, id_c
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], names=[n for i, n in enumerate(kept.schema.names) if i != at])
         hx.Column.close(dead)
 
-    return numbered.mapInArrow(run, df.schema)
+    return numbered.mapInArrow(released(run), df.schema)

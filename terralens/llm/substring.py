@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, mix64, pack, powers, row_slices, scratch, span_hashes, text_bytes, unpack, words
+from terralens.llm.common import U64, mix64, pack, powers, released, row_slices, scratch, span_hashes, text_bytes, unpack, words
 
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 #: A place is a block's number times 2**24 plus a word's offset.
@@ -196,7 +196,7 @@ def duplicate_index(df: DataFrame, text_col: str = "text", min_words: int = 35):
     def anchors(batches):
         yield from hx.spool((Passages(d, o, min_words).anchors() for _, _, _, d, o in _slices(batches)), bits, 2)
 
-    first = hx.written(texts.mapInArrow(anchors, hx.BLOBS_DDL), scratch(spark, "anchors"), 2, bits)
+    first = hx.written(texts.mapInArrow(released(anchors), hx.BLOBS_DDL), scratch(spark, "anchors"), 2, bits)
 
     def passages(batches):
         def each():
@@ -214,7 +214,7 @@ def duplicate_index(df: DataFrame, text_col: str = "text", min_words: int = 35):
         return keys[at], places[at], places[at + 1]
 
     shelf = hx.Shelf(scratch(spark, "passages"), bits, {"key": U64, "a": U64, "b": U64})
-    return first, hx.write_buckets(texts.mapInArrow(passages, hx.BLOBS_DDL), shelf, two_places)
+    return first, hx.write_buckets(texts.mapInArrow(released(passages), hx.BLOBS_DDL), shelf, two_places)
 
 
 def _parse(batches, index, min_words, emit):
@@ -293,7 +293,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ddl = "id long, n_words long, spans array<struct<start:long,end:long>>, factors array<struct<start:long,words:long,block:long,offset:long,boundary:boolean>>, kept_text string"
-    return src.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
+    return src.mapInArrow(released(run), ddl).withColumnRenamed("id", id_col)
 
 
 def remove_duplicate_passages(df: DataFrame, text_col: str = "text", min_words: int = 35) -> DataFrame:
@@ -311,7 +311,7 @@ def remove_duplicate_passages(df: DataFrame, text_col: str = "text", min_words:
             yield pa.RecordBatch.from_arrays([text, *rows.columns[2:]], names=rows.schema.names[1:])
 
     src = df.select(*[f"`{c}`" for c in order])
-    return src.mapInArrow(run, src.schema).select(*[f"`{c}`" for c in df.columns])
+    return src.mapInArrow(released(run), src.schema).select(*[f"`{c}`" for c in df.columns])
 
 
 def op10_substring(spark, sf_dir: str) -> DataFrame:
@@ -331,7 +331,7 @@ def op10_substring(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return src.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return src.mapInArrow(released(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 SQL = r"""

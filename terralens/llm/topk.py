@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import filesystem, put_file, scratch, stash
+from terralens.llm.common import filesystem, put_file, released, scratch, stash
 
 BUCKET, QUERIES = 1024, 256
 #: Local cosine threshold from which coordinates prune better than lengths.
@@ -189,13 +189,13 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ddl = "vec_id long, dim int, norm double, vec binary"
     src = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = stash(src.mapInArrow(_clean, ddl), "vectors")
+    rows = stash(src.mapInArrow(released(_clean), ddl), "vectors")
     queries = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("dim", "norm", "vec")).alias("q")).select("vec_id", "q.*")
 
     def written(frame, name, size):
         root = scratch(spark, name)
         order = ["dim", F.col("norm").desc(), "vec_id"]
-        out = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_writer(root, size), "shard string, at int, dim int, n int, top double")
+        out = frame.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(released(_writer(root, size)), "shard string, at int, dim int, n int, top double")
         return root, stash(out, name + "-list")
 
     (root, buckets), (q_root, blocks) = written(rows, "buckets", BUCKET), written(queries, "queries", QUERIES)
@@ -239,7 +239,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col:
             pairs = pairs.withColumns({"known": F.lit(None).cast("array<struct<query_id:long,low:long>>"), "need": F.lit(0.0)})
         listed = spark.createDataFrame(shards, "dim int, shard string, top double")  # of this wave
         pairs = pairs.join(F.broadcast(listed), "dim").filter("need <= top").select("q_shard", "q_at", "shard", "known")
-        found = pairs.repartition(parts, "q_shard", "q_at", "shard").mapInArrow(run, _FOUND)
+        found = pairs.repartition(parts, "q_shard", "q_at", "shard").mapInArrow(released(run), _FOUND)
         # k rows per query and shard come here
         if best is not None:
             found = found.unionByName(best.drop("rank"))

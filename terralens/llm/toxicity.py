@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm.common import LOWER, U64, mix64, row_slices, span_hashes, text_bytes, words
+from terralens.llm.common import LOWER, U64, mix64, released, row_slices, span_hashes, text_bytes, words
 from terralens.llm.hashindex import fold
 from terralens.llm.substring import run_hashes
 
@@ -428,7 +428,7 @@ def tag(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, _OUT.types[3])], schema=_OUT)
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>").withColumnRenamed("id", id_col)
+    return src.mapInArrow(released(run), "id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -443,7 +443,7 @@ def drop_toxic(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame
         for b, lo, hi, scores, *_ in _tagged(batches, model.value, at):
             yield b.slice(lo, hi - lo).filter(pa.array(scores < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def in_held_out(id_col: str = "doc_id"):
@@ -461,7 +461,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Field:
         field = fit([r[1] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(field)], pa.binary())})
 
-    got = sample.mapInArrow(run, "model binary").first()
+    got = sample.mapInArrow(released(run), "model binary").first()
     return pickle.loads(got["model"]) if got else fit([], [])  # noqa: S301
 
 

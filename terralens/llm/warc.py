@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm.common import U64, filesystem, put_file, scratch, stash
+from terralens.llm.common import U64, filesystem, put_file, released, scratch, stash
 from terralens.llm.hashindex import Shelf, bucket_bits, bucket_edges
 
 BLOCK_LINES = 256
@@ -157,7 +157,7 @@ def write_repeats(keyed: DataFrame, root: str) -> Repeats:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, F.shiftright("bucket", shelf.shift)).sortWithinPartitions("bucket", "sha")
-    got = dealt.mapInArrow(run, "done binary").collect()
+    got = dealt.mapInArrow(released(run), "done binary").collect()
     return Repeats(shelf.filled(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[0], np.int32) for r in got)])))
 
 
@@ -202,7 +202,7 @@ def write_archives(df: DataFrame, root: str, id_col: str = "page_id", url_col: s
             out.close()
 
     rows = keyed.select("id", "url", "payload", "sha")
-    return stash(rows.mapInArrow(run, "key string, id long, file string, start long, length long"), "captures")
+    return stash(rows.mapInArrow(released(run), "key string, id long, file string, start long, length long"), "captures")
 
 
 def write_index(captures: DataFrame, root: str, block_lines: int = BLOCK_LINES) -> list[tuple]:
@@ -239,7 +239,7 @@ def write_index(captures: DataFrame, root: str, block_lines: int = BLOCK_LINES)
             put_file(f"{root}/{shard}.directory", zlib.compress(json.dumps(directory).encode(), 6))
             yield pa.RecordBatch.from_pydict({"key": [first[0]], "id": pa.array([first[1]], pa.int64()), "shard": [shard]})
 
-    return sorted((r["key"].encode(), r["id"], r["shard"]) for r in ordered.mapInArrow(run, "key string, id long, shard string").collect())
+    return sorted((r["key"].encode(), r["id"], r["shard"]) for r in ordered.mapInArrow(released(run), "key string, id long, shard string").collect())
 
 
 class Kept(OrderedDict):
@@ -348,7 +348,7 @@ def read_captures(lookups: DataFrame, root: str, shards: list[tuple], id_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(1).to_pylist()], pa.string()), b.column(0)], names=["key", "id"])
 
-    keyed = lookups.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(key, "key string, id long").distinct()
+    keyed = lookups.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(released(key), "key string, id long").distinct()
     # Sorted like the index, a task's look-ups touch each block once.
     ordered = keyed.repartitionByRange(parts, "key", F.col("id").asc_nulls_first()).sortWithinPartitions("key", F.col("id").asc_nulls_first())
 
@@ -365,7 +365,7 @@ def read_captures(lookups: DataFrame, root: str, shards: list[tuple], id_col: st
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _READ.types, strict=True)], schema=_READ)
 
-    return ordered.mapInArrow(run, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("id", id_col)
+    return ordered.mapInArrow(released(run), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("id", id_col)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

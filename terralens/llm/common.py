@@ -187,6 +187,13 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def pieces(batches, rows: int = 512):
+    """The batches in parts of so many rows, so that only a part's texts are copied."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def row_slices(offs: np.ndarray, limit: int = 2 << 20):
     """Runs (lo, hi) of whole rows of at most ``limit`` bytes, one row at least."""
     lo, n = 0, len(offs) - 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import hashindex as hx
-from terralens.llm.common import U64, mix64, pack, released, row_slices, scratch, stash, text_bytes, unpack, words
+from terralens.llm.common import U64, mix64, pack, pieces, released, row_slices, scratch, stash, text_bytes, unpack, words
 
 #: Words are told apart by the upper 48 bits of their hash.
 _HIGH = U64(0xFFFFFFFFFFFF0000)
@@ -305,7 +305,7 @@ def _triple_blobs(batches, places: Places):
         blobs = [_pack_triples(known, u[i], v[i], w[i], count[i]) for i in (order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True))]
         return pa.RecordBatch.from_arrays([pa.array(bucket[order[edge[:-1]]], pa.int32()), pa.array(blobs, pa.binary())], schema=hx.BLOBS)
 
-    for batch in batches:
+    for batch in pieces(batches):
         data, offs = text_bytes(batch.column(0))
         for lo, hi in row_slices(offs, SLICE):
             u, v, w, _ = tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
@@ -330,7 +330,7 @@ def hot_places(texts: DataFrame, size: int, bits: int, spread: float = SPREAD) -
     sample = texts if share >= 1 else texts.filter(F.rand(29) < share)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             data, offs = text_bytes(batch.column(0))
             for lo, hi in row_slices(offs, SLICE):
                 u, v, _, _ = tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
@@ -626,7 +626,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
     """
     def run(batches):
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches):
             data, offs = text_bytes(batch.column(1))
             for lo, hi in row_slices(offs, SLICE):
                 n, known, base, own = scorer.score(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
